@@ -135,6 +135,22 @@ def utf8(column: pa.Array) -> list:
     return column.cast(kind).to_pylist()
 
 
+def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and intercept of the logistic regression of y (0 or 1) on x, by Newton's steps with a slight ridge; the cases of y = 1 weigh
+    as `share` of all, whatever their number."""
+    ones = max(float(y.sum()), 1.0)
+    v = np.where(y == 1, share / ones, (1 - share) / max(len(y) - ones, 1.0)) * len(y)
+    scale = float(x.std()) or 1.0
+    z, w, ridge = np.column_stack([x / scale, np.ones_like(x)]), np.zeros(2), np.diag([1e-2, 1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (v * p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (v * (p - y)) + ridge @ w)
+        w -= np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / scale), float(w[1])
+
+
 def connected(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(node, label): label is the least node that edges (a, b) reach. Both columns are longs.
 

@@ -13,9 +13,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_crc32, labelled_sample, utf8
+from .common import calibrate, id_crc32, labelled_sample, utf8
 
-BLOCK, LEVEL, DICT_BYTES = 4096, 3, 65_536
+BLOCK, LEVEL, DICT_BYTES = 1024, 3, 262_144
 #: The bound on what is learned from: rows of each class, and bytes of text in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
 
@@ -62,36 +62,29 @@ def _build(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICT_BYTES:] or b" " * 8
 
 
-def fit(sample: list[tuple[str, int]]) -> CompressionModel:
+def fit(sample: list[tuple[str, int]], share: float | None = None) -> CompressionModel:
     """sample: (text, 1 for good or 0 for bad). Every other text of a class builds its dictionary, the rest calibrate.
+    share: of good texts among all labelled ones; the sample's own share if not given.
 
     With fewer than 8 texts of a class nothing can be learned: the score is then the share of good texts.
     """
     by = {y: [t.encode() for t, label in sample if label == y and t] for y in (0, 1)}
-    share = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
+    if share is None:
+        share = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
     if min(map(len, by.values())) < 8:
         return CompressionModel(b" " * 8, b" " * 8, 0.0, float(np.log(share / (1 - share))))
     model = CompressionModel(_build(by[1][::2]), _build(by[0][::2]), 0.0, 0.0)
     of = model.scorer()
     x = np.array([of(t) for y in (0, 1) for t in by[y][1::2]])
     y = np.array([float(label) for label in (0, 1) for _ in by[label][1::2]])
-    scale = x.std() or 1.0
-    z = np.column_stack([x / scale, np.ones_like(x)])
-    w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
-    # Classes weigh alike, so that the sample's make-up does not move the threshold.
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (p - y)) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return CompressionModel(model.good, model.bad, float(w[0] / scale), float(w[1]))
+    return CompressionModel(model.good, model.bad, *calibrate(x, y, share))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, budget: int = SAMPLE_BYTES) -> CompressionModel:
     """Learns from labelled rows outside the held-out fold (crc32 of the id mod 3 is 1), at most `rows` of each class."""
-    return fit(labelled_sample(docs, labels, "quality", id_crc32("doc_id") % 3 != 1, rows, budget, 6))
+    keep = id_crc32("doc_id") % 3 != 1
+    n, good = labels.filter(keep).agg(F.count_if("quality in (0, 1)"), F.count_if("quality = 1")).first()
+    return fit(labelled_sample(docs, labels, "quality", keep, rows, budget, 6), (good + 1) / (n + 2))
 
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

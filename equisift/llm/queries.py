@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_proportional_sharding": sharding.op8_proportional_sharding,
+    "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
