@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, quality, sharding, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, line_dedup, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_proportional_sharding": sharding.op8_proportional_sharding,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
 }
