@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, quality, sharding, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, line_dedup, pieces, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_proportional_sharding": sharding.op8_proportional_sharding,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
