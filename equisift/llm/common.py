@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    # Lets Spark's cleaner delete the shuffle files of the steps that have ended.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._equisift_path = path
     return back

@@ -88,17 +88,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, budget: i
 
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score. Null and empty texts get the score of no evidence."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """One row per input row: id, score. Null and empty texts get the score of no evidence. An empty table gives no rows."""
+    return with_score(docs.select(id_col, text_col), model, text_col, drop_text=True)
+
+
+def with_score(docs: DataFrame, model: CompressionModel, text_col: str = "text", out_col: str = "score", drop_text: bool = False) -> DataFrame:
+    """Every row of docs and its score; a column named like out_col is replaced."""
+    rows = docs.drop(out_col)
+    rest = [c for c in rows.columns if c != text_col or not drop_text]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + f", `{out_col}` double"
 
     def run(batches):
         of = model.scorer()
         for batch in batches:
-            x = np.array([of(t or b"") for t in utf8(batch.column("text"))], float)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.probability(x))], ["id", "score"])
+            x = np.array([of(t or b"") for t in utf8(batch.column(text_col))], float)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(model.probability(x))], [*rest, out_col])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, pieces, quality, sharding, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, jaccard_join, line_dedup, pieces, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard": jaccard_join.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
 }
