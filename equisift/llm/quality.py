@@ -83,7 +83,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> Compressio
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, budget: int = SAMPLE_BYTES) -> CompressionModel:
     """Learns from labelled rows outside the held-out fold (crc32 of the id mod 3 is 1), at most `rows` of each class."""
     keep = id_crc32("doc_id") % 3 != 1
-    n, good = labels.filter(keep).agg(F.count_if("quality in (0, 1)"), F.count_if("quality = 1")).first()
+    n, good = labels.filter(keep).agg(F.count_if(F.col("quality").isin(0, 1)), F.count_if(F.col("quality") == 1)).first()
     return fit(labelled_sample(docs, labels, "quality", keep, rows, budget, 6), (good + 1) / (n + 2))
 
 
