@@ -45,5 +45,5 @@ def as_text(metrics: DataFrame) -> DataFrame:
     """(method, line_no, line): the report of each method as lines of text."""
     names = {"accuracy": "Accuracy", "precision": "Precision", "recall": "Recall", "f1_score": "F1-Score"}
     lines = [F.concat(F.upper("method"), F.lit(" RESULTS"))]
-    lines += [F.concat(F.lit(f"  {names.get(c, c)}: "), F.format_number(c, "0.0000")) for c in ALL]
+    lines += [F.concat(F.lit(f"  {names.get(c, c)}: "), F.format_string("%.4f", F.col(c))) for c in ALL]
     return metrics.select("method", F.posexplode(F.array(*lines)).alias("line_no", "line"))

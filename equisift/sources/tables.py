@@ -25,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: str = CENSUS) -> DataFrame:
 
 def census(spark: SparkSession, train: str, test: str) -> DataFrame:
     """Both files, cleaned, with a `part` column; codes are fitted on the training file and applied to both. A dot at the end of an income is no part of it."""
-    parts = [encoding.clean(read_csv(spark, p), CENSUS_DROP).withColumn("income", F.rtrim(F.lit("."), "income")) for p in (train, test)]
+    parts = [encoding.clean(read_csv(spark, p), CENSUS_DROP).withColumn("income", F.rtrim("income", F.lit("."))) for p in (train, test)]
     coded = [encoding.encode(p, list(CENSUS_TEXT), fit=parts[0]).withColumn("part", F.lit(name)) for p, name in zip(parts, ("train", "test"))]
     return coded[0].unionByName(coded[1])
 
