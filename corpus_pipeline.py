@@ -1,4 +1,6 @@
-"""Cleaning a corpus in stages. Each stage works on what the one before kept; ids of documents are distinct.
+"""Cleaning a corpus in stages. Each stage works on what the one before kept.
+
+Ids of documents should be distinct. Null texts count as empty ones. Rows with a null id go through all stages but stay in near_dedup, where an id names who stays. Further columns are kept up to the last stage.
 
 quality: texts that the compression classifier rejects go; exact_dedup: of equal texts one stays; near_dedup: of each component of similar texts the one with
 the least id stays; decontamination: texts with a benchmark passage go; tokens: the rest is encoded, and decoded again as a proof.
@@ -33,8 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    matches = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(decontamination.contaminated_ids(matches), "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

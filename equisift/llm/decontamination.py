@@ -147,8 +147,17 @@ def decontaminate(
     return out.withColumnRenamed("id", id_col)
 
 
-def contaminated_ids(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return matches.filter(F.size("spans") > 0).select(id_col).distinct()
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The rows of docs, with all their columns, that no item matches; block after block of items, without a shuffle."""
+    for block in _blocks(bench, item_col, item_text_col):
+
+        def run(batches, block=block):
+            matcher = Matcher(block, chars_per_edit)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.spans(normalise(t.as_py())) for t in batch.column(text_col)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def by_document(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:

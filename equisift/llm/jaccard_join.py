@@ -10,7 +10,7 @@ passage that many documents share is in few prefixes.
 
 Steps, each cut in the shared folder:
   1. classes and the sketch; 2. prefixes of all classes, of which tokens with one class end there; 3. groups: each class is
-  compared with the class it shares most hub tokens with (a token's hub is its least class), and links make groups, so a family of thousands
+  compared with the class it shares most hub tokens with (a token's hub is its most central class), and links make groups, so a family of thousands
   of near copies costs a comparison each; 4. matrix, bound, opened groups, exact comparison; 5. components of all links.
 Pairs inside a group are known to be connected and are never formed. Classes are compared by their whole shingle sets.
 """
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import WordHashes, connected, cut, forget, shingles, utf8
 
-#: The sketch: counts of 2**SKETCH_BITS buckets of tokens (4 MB for each running task), in SKETCH_PARTS parts.
-SKETCH_BITS, SKETCH_PARTS = 20, 16
-#: A bucket with so many times the mean count holds common tokens; each doubling is one level more.
-COMMON_FROM = 4
+#: The sketch: counts of 2**SKETCH_BITS buckets of tokens (64 MB for each running task), in SKETCH_PARTS parts.
+SKETCH_BITS, SKETCH_PARTS = 24, 64
+#: A bucket with COMMON_LEAST tokens and so many times the mean count holds common tokens; each doubling is one level more.
+COMMON_FROM, COMMON_LEAST = 4, 32
 #: Spokes of a hub that are compared in one task.
 BLOCK = 256
+#: Ids (two longs each) that are broadcast at most: 16 MB.
+BROADCAST_ROWS = 1 << 20
 _SEEN = 500_000
 
 
@@ -41,18 +43,19 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 tokens in the order (level, hash); tokens are sorted."""
+def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first n - ceil(t n) + 1 tokens in the order (level, hash), tokens being sorted; and how central the set is: the sum of its tokens' levels for each 1000 tokens,
+    greatest for the text that a family of near copies goes back to, as a change makes rare tokens of common ones."""
     n = len(tokens)
-    order = np.argsort(levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    return tokens[order[: n - (percent * n + 99) // 100 + 1]]
+    own = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return tokens[np.argsort(own, kind="stable")[: n - (percent * n + 99) // 100 + 1]], int(own.sum(dtype=np.int64)) * 1000 // n
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
     """(id, n, lo, hi) of each row, and the sketch's parts of each task (n is -1)."""
 
     def run(batches):
-        words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -65,12 +68,12 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
                 hi.append(b)
                 own.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             if own:
-                counts += np.bincount(np.concatenate(own), minlength=1 << SKETCH_BITS)
+                np.add.at(counts, np.concatenate(own), np.uint32(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["id", "n", "lo", "hi", "part", "counts"]
             )
         if kind is not None and counts.any():
-            parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)]
+            parts = [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SKETCH_PARTS, kind), pa.array([-1] * SKETCH_PARTS, pa.int64()), pa.array([0] * SKETCH_PARTS, pa.int64()), pa.array([0] * SKETCH_PARTS, pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())],
                 ["id", "n", "lo", "hi", "part", "counts"],
@@ -80,33 +83,34 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _levels(found: DataFrame) -> np.ndarray:
-    """The level of each bucket: 0 for tokens that aren't common. What comes to the driver is one byte for each bucket (1 MB), at any input size."""
+    """The level of each bucket: 0 for tokens that aren't common. What comes to the driver is one byte for each bucket (16 MB, compressed), at any input size."""
+    total = found.filter("n > 0").agg(F.sum("n")).first()[0] or 0
+    base = max(COMMON_FROM * total / (1 << SKETCH_BITS), COMMON_LEAST)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
+                x = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.int64)
                 sums[part] = sums[part] + x if part in sums else x
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
+        for part, x in sums.items():
+            levels = np.where(x >= base, np.floor(np.log2(np.maximum(x, 1) / base)) + 1, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())})
 
-    rows = found.filter("n = -1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, counts binary").collect()
-    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+    rows = found.filter("n = -1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, levels binary").collect()
+    levels = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for r in rows:
-        counts[r["part"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    counts = counts.ravel()
-    base = max(COMMON_FROM * counts.mean(), 1.0)
-    return np.where(counts > base, np.floor(np.log2(np.maximum(counts, 1) / base)) + 1, 0).astype(np.uint8)
+        levels[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    return levels.ravel()
 
 
 def _prefixes(rows: DataFrame, levels, clashes: frozenset, k: int, percent: int) -> DataFrame:
-    """(token, cls, n): the prefix of each class, once for each task that meets it."""
+    """(token, cls, n, central): the prefix of each class, once for each task that meets it."""
 
     def run(batches):
         words, seen = WordHashes(), set()
         for batch in batches:
-            tokens, cls, n = [], [], []
+            tokens, cls, n, central = [], [], [], []
             for t in utf8(batch.column("text")):
                 s = shingles(t, words, k)
                 if not len(s):
@@ -118,14 +122,16 @@ def _prefixes(rows: DataFrame, levels, clashes: frozenset, k: int, percent: int)
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(own)
-                tokens.append(prefix(s, levels.value, percent).view(np.int64))
+                first, middle = prefix(s, levels.value, percent)
+                tokens.append(first.view(np.int64))
+                central.append(middle)
                 cls.append(own)
                 n.append(len(s))
             if tokens:
                 sizes = [len(x) for x in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(cls, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes))], ["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(cls, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(np.repeat(np.array(central, np.int32), sizes))], ["token", "cls", "n", "central"])
 
-    return rows.select("text").mapInArrow(run, "token bigint, cls bigint, n int")
+    return rows.select("text").mapInArrow(run, "token bigint, cls bigint, n int, central int")
 
 
 def _needed(a: str, b: str, percent: int) -> str:
@@ -133,16 +139,20 @@ def _needed(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent} - greatest(({percent} * {a} + 99) div 100, ({percent} * {b} + 99) div 100) + 1)"
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, clashes: frozenset, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole shingle sets reach the similarity. texts: (cls, text).
+def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozenset, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole shingle sets reach the similarity. rows: (id, text); first: (cls, first_id), an id of each class.
 
+    The ids of the classes in question are broadcast if they are BROADCAST_ROWS at most, which is counted; else both sides are shuffled.
     Spokes a meet their hub b in blocks of about BLOCK, so a hub with many spokes is dealt over many tasks; a task holds one hub's set and a batch of rows.
     """
+    asked = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first, "cls"), "jaccard-asked")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = cut(rows.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("cls", "text"), "jaccard-texts")
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(degree, "b").select("a", "b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "blocks")
     spokes = dealt.select(F.col("a").alias("cls"), "b", "block", F.lit(1).alias("kind"))
     hubs = degree.select(F.col("b").alias("cls"), "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
-    rows = spokes.unionByName(hubs).join(texts, "cls").repartition("b", "block").sortWithinPartitions("b", "block", "kind")
+    met = spokes.unionByName(hubs).join(texts, "cls").repartition("b", "block").sortWithinPartitions("b", "block", "kind")
 
     def run(batches):
         words, at, hub = WordHashes(), None, None
@@ -162,7 +172,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, clashes: frozenset, k: int, perc
                         b.append(to)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint")
+    return met.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -186,17 +196,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = found.filter("n >= 0").select("id", "n", F.when(F.col("n") > 0, cls).alias("cls"))
 
     every = Window.partitionBy("token")
-    shared = _prefixes(rows, levels, clashes, k, percent).withColumns({"hub": F.min("cls").over(every), "top": F.max("cls").over(every)}).filter("hub <> top")
-    shared = cut(shared.drop("top").dropDuplicates(["token", "cls"]), "jaccard-shared")
+    shared = _prefixes(rows, levels, clashes, k, percent)
+    shared = shared.withColumns({"x": F.min("cls").over(every), "y": F.max("cls").over(every), "hub": F.max(F.struct("central", "cls")).over(every)["cls"]}).filter("x <> y")
+    shared = cut(shared.drop("x", "y", "central").dropDuplicates(["token", "cls"]), "jaccard-shared")
 
     first = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"))
-    involved = shared.select("cls").distinct().join(first, "cls")
-    texts = involved.join(rows, F.col("first_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    texts = cut(texts, "jaccard-texts")
 
     star = shared.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("20 * c >= n")
     star = cut(star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "hub")).alias("best")).select("a", F.col("best.hub").alias("b")), "jaccard-star")
-    links = cut(_verify(star, texts, clashes, k, percent), "jaccard-links")
+    links = cut(_verify(star, rows, first, clashes, k, percent), "jaccard-links")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     groups = connected(nodes, links, "jaccard-groups")
 
@@ -204,10 +212,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     matrix = shared.select("token", "cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("label", "cls")).drop("label")
     matrix = matrix.withColumns({"x": F.min("grp").over(every), "y": F.max("grp").over(every)}).filter("x <> y").drop("x", "y")
     matrix = cut(matrix, "jaccard-matrix")
-    sizes = matrix.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    union = matrix.select("token", "grp").distinct().join(sizes, "grp").withColumnRenamed("grp", "to")
+    # Of two groups the smaller one's classes are queries to the larger one's union, so a family is met as one.
+    sizes = matrix.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("weight"))
+    weighed = cut(matrix.join(sizes, "grp"), "jaccard-weighed")
+    union = weighed.select("token", F.col("grp").alias("to"), "low", "high", "weight").distinct()
     near = f"{percent} * q.n <= 100 * u.high and {percent} * u.low <= 100 * q.n"
-    counted = matrix.alias("q").join(union.alias("u"), F.expr(f"q.token = u.token and q.grp > u.to and {near}")).groupBy("q.cls", "q.n", "u.to", "u.low", "u.high").agg(F.count("*").alias("c"))
+    counted = weighed.alias("q").join(union.alias("u"), F.expr(f"q.token = u.token and struct(q.weight, q.grp) < struct(u.weight, u.to) and {near}")).groupBy("q.cls", "q.n", "u.to", "u.low", "u.high").agg(F.count("*").alias("c"))
     # _needed is least at an end of the sizes that can link.
     ends = [f"least(greatest({e}, ({percent} * n + 99) div 100), (100 * n) div {percent})" for e in ("low", "high")]
     open_ = counted.filter(F.expr(f"c >= least({_needed('n', ends[0], percent)}, {_needed('n', ends[1], percent)})")).select("cls", "to")
@@ -217,7 +227,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.filter(F.expr(f"c >= {_needed('na', 'nb', percent)}")).select("a", "b")
     tried = star.select("a", "b").union(star.select("b", "a"))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = cut(_verify(pairs, texts, clashes, k, percent), "jaccard-links")
+    more = cut(_verify(pairs, rows, first, clashes, k, percent), "jaccard-links")
 
     # Components of groups, then the least id of each.
     lookup = groups.withColumnRenamed("label", "grp")
@@ -231,7 +241,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(named, F.col("cls") == F.col("c2"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = cut(out, "jaccard-result")
-    forget(found, shared, texts, star, links, matrix, pairs, more)
+    forget(found, shared, star, links, matrix, weighed, pairs, more)
     return out
 
 
