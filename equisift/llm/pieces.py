@@ -33,12 +33,16 @@ _MOST_UNITS, _MOST_PAIRS, _BATCH_CHARS = 300_000, 1_000_000, 4 << 20
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
-    """Polynomial hash along the last axis."""
+    """Polynomial hash along the last axis. Codes must not be 0, or strings of several lengths would share one."""
     h = np.zeros(codes.shape[:-1], np.uint64)
     with np.errstate(over="ignore"):
         for i in range(codes.shape[-1]):
             h = h * _BASE + codes[..., i]
-    return h
+        return mix(h)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
 class Pieces:
@@ -55,7 +59,7 @@ class Pieces:
                 self.bytes[int(p[3:5], 16)] = i
         self.longest = max(map(len, self.ids), default=1)
         order = sorted(self.ids.items(), key=lambda x: len(x[0]))
-        h = np.array([int(mix(np.array([_hash(np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.uint64))]) + np.uint64(len(p)))[0]) for p, _ in order], np.uint64)
+        h = np.array([int(_hash(_codes(p))) for p, _ in order], np.uint64)
         at = np.argsort(h)
         self.keys, self.key_ids = h[at], np.array([order[i][1] for i in at], np.int64)
         assert len(np.unique(h)) == len(h), "two pieces share a hash"
@@ -132,13 +136,13 @@ class Pieces:
     def encode_equal(self, units: list[str]) -> list[bytes]:
         """Ids (int32 bytes) of units of one length."""
         n, size = len(units), len(units[0])
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
+        codes = _codes("".join(units)).reshape(n, size)
         cand: dict[int, np.ndarray] = {}  # by length: the piece at each start, else -1
         with np.errstate(over="ignore"):
             h = np.zeros((n, size), np.uint64)
             for m in range(1, min(size, self.longest) + 1):
                 h = h[:, : size - m + 1] * _BASE + codes[:, m - 1 :]
-                probe = mix(h + np.uint64(m))
+                probe = mix(h)
                 at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
                 found = np.where(self.keys[at] == probe, self.key_ids[at], -1)
                 if m == 1 or (found >= 0).any():
