@@ -108,7 +108,7 @@ class Matcher:
                 if hit:
                     found.append((item, max(0, low + hit[1] - m), low + hit[1], hit[0]))
                     done = low + hit[1]
-        return sorted(found)
+        return sorted(found, key=lambda s: (s[0] is None, s[0] or 0, *s[1:]))
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str):
@@ -118,7 +118,7 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str):
     n = int(total // BLOCK_BYTES) + 1
     for b in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield sorted((r["item"], normalise(r["text"])) for r in part.collect())
+        yield sorted(((r["item"], normalise(r["text"])) for r in part.collect()), key=repr)
 
 
 def decontaminate(
@@ -127,7 +127,7 @@ def decontaminate(
     """One row per input row and block of items: id, spans (array of item, start, end, distance in the normalised text).
 
     An item matches a text that holds a passage within len(item) // chars_per_edit edits of it, both normalised. Items without letters
-    or digits match nothing; null and empty texts match nothing; without items each row comes once with no spans. Other columns are ignored.
+    or digits match nothing; an item with a null id matches as any other, and is a null in lists; null and empty texts match nothing; without items each row comes once with no spans. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -50,7 +50,7 @@ def test_chunks_make_up_the_text_and_follow_content(spark):
     df = spark.createDataFrame([(0, a), (1, "inserted" + a), (2, "y" * 5000), (3, "")], "i int, t string")
     got = {r["i"]: r["c"] for r in df.select("i", m.chunks(df.t).alias("c")).collect()}
     assert "".join(got[0]) == a and "".join(got[2]) == "y" * 5000 and got[3] == []
-    assert len(set(got[0]) - set(got[1])) <= 2  # cuts come back in step
+    assert len(set(got[0]) & set(got[1])) > 0.8 * len(got[0])  # cuts come back in step
     assert all(len(c) <= m.MOST + 1 for c in got[0])
 
 
