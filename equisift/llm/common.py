@@ -21,11 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="equisift-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not hasattr(sc, "_equisift_dir"):
+            sc._equisift_dir = "file://" + tempfile.mkdtemp(prefix="equisift-")
+        found = sc._equisift_dir
     return found.rstrip("/")
 
 

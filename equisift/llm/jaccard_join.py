@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -34,6 +35,8 @@ COMMON_FROM, COMMON_LEAST = 4, 32
 BLOCK = 256
 #: Ids (two longs each) that are broadcast at most: 16 MB.
 BROADCAST_ROWS = 1 << 20
+#: Groups of more classes are opened in blocks of about BLOCK_TOKENS rows of the matrix, and of as many rows of queries.
+LARGE, BLOCK_TOKENS = 64, 1 << 16
 _SEEN = 500_000
 
 
@@ -175,6 +178,42 @@ def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozen
     return met.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint")
 
 
+def _open_large(inside: DataFrame, weighed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of query classes and classes of large groups that reach the bound. inside: (token, a, na, grp); weighed: (grp, token, cls, n, weight).
+
+    A group's rows of the matrix are dealt into blocks by class, its queries too, and each pair of blocks is counted in numpy: the tokens that a query shares with each class are one bincount.
+    """
+    blocks = inside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_TOKENS).alias("qs"))
+    blocks = blocks.join(weighed.select("grp", F.ceil(F.col("weight") / BLOCK_TOKENS).alias("ms")).distinct(), "grp")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    q = inside.join(blocks, "grp").withColumn("qb", block("a", "qs")).withColumn("mb", every("ms")).select("grp", "qb", "mb", "token", "a", "na")
+    m = weighed.join(blocks, "grp").withColumn("mb", block("cls", "ms")).withColumn("qb", every("qs")).select("grp", "qb", "mb", "token", F.col("cls").alias("b"), F.col("n").alias("nb"))
+
+    def count(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        found_a, found_b = [], []
+        if len(q) and len(m):
+            m = m.sort_values("token")
+            tokens = m["token"].to_numpy()
+            names, at = np.unique(m["b"].to_numpy(), return_inverse=True)
+            nb = np.zeros(len(names), np.int64)
+            nb[at] = m["nb"].to_numpy()
+            for a, own in q.groupby("a"):
+                na, mine = int(own["na"].iloc[0]), own["token"].to_numpy()
+                low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                size = high - low
+                rows = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                c = np.bincount(at[rows], minlength=len(names))
+                need = (percent * (na + nb) + 99 + percent) // (100 + percent) - np.maximum((percent * na + 99) // 100, (percent * nb + 99) // 100) + 1
+                hit = names[(c > 0) & (c >= need) & (percent * na <= 100 * nb) & (percent * nb <= 100 * na)]
+                found_a.append(np.full(len(hit), a, np.int64))
+                found_b.append(hit)
+        return pd.DataFrame({"a": np.concatenate(found_a or [np.empty(0, np.int64)]), "b": np.concatenate(found_b or [np.empty(0, np.int64)])})
+
+    keys = ["grp", "qb", "mb"]
+    return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(count, "a bigint, b bigint")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id that links reach, itself included).
 
@@ -221,10 +260,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # _needed is least at an end of the sizes that can link.
     ends = [f"least(greatest({e}, ({percent} * n + 99) div 100), (100 * n) div {percent})" for e in ("low", "high")]
     open_ = counted.filter(F.expr(f"c >= least({_needed('n', ends[0], percent)}, {_needed('n', ends[1], percent)})")).select("cls", "to")
-    inside = matrix.join(open_, "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("to").alias("grp"))
-    pairs = inside.join(matrix.select("token", "grp", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "grp"])
-    pairs = pairs.filter(f"{percent} * na <= 100 * nb and {percent} * nb <= 100 * na").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    pairs = pairs.filter(F.expr(f"c >= {_needed('na', 'nb', percent)}")).select("a", "b")
+    sized = groups.groupBy(F.col("label").alias("to")).agg(F.count("*").alias("members"))
+    inside = weighed.join(open_.join(sized, "to", "left"), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("to").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
+    inside = cut(inside, "jaccard-open")
+    small = inside.filter(F.col("members") <= LARGE).join(matrix.select("token", "grp", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "grp"])
+    small = small.filter(f"{percent} * na <= 100 * nb and {percent} * nb <= 100 * na").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    small = small.filter(F.expr(f"c >= {_needed('na', 'nb', percent)}")).select("a", "b")
+    pairs = small.unionByName(_open_large(inside.filter(F.col("members") > LARGE), weighed, percent))
     tried = star.select("a", "b").union(star.select("b", "a"))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = cut(_verify(pairs, rows, first, clashes, k, percent), "jaccard-links")
@@ -241,7 +283,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(named, F.col("cls") == F.col("c2"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = cut(out, "jaccard-result")
-    forget(found, shared, star, links, matrix, weighed, pairs, more)
+    forget(found, shared, star, links, matrix, weighed, inside, pairs, more)
     return out
 
 

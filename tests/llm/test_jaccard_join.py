@@ -58,6 +58,14 @@ def test_equals_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("large,rows", [(1, 40), (0, 1 << 16)])
+def test_large_groups_are_opened_in_blocks(spark, monkeypatch, large, rows):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", rows)
+    docs = near_rows(3, 10, 14)
+    assert rows_of(jaccard_components(spark.createDataFrame(docs, SCHEMA)), "doc_id", "n_shingles", "component_id") == brute(docs)
+
+
 def test_chains_and_a_low_threshold(spark):
     w = Words(9)
     rows, text = [], w.text(60)
