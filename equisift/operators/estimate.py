@@ -10,22 +10,22 @@ PRICE_IN, PRICE_OUT, SHARE_IN, SHARE_OUT = 0.10, 0.20, 0.95, 0.05
 
 SQL = f"""
 WITH a AS (SELECT *, {ZERO_SHOT_TOKENS} AS tokens_per_zero_shot, k_shots * {CELLS} AS total_demonstrations, {FEW_SHOT_TOKENS} + k_shots * {CELLS} * {DEMO_TOKENS} AS tokens_per_few_shot FROM {{configs}}),
-b AS (SELECT *, max_dev_samples AS fcg_baseline_calls, max_dev_samples * tokens_per_zero_shot AS fcg_baseline_tokens,
-  max_dev_samples * iterations AS fcg_evolution_calls, max_dev_samples * iterations * tokens_per_few_shot AS fcg_evolution_tokens,
-  2 * max_test_samples AS fcg_test_calls, max_test_samples * (tokens_per_zero_shot + tokens_per_few_shot) AS fcg_test_tokens,
-  CASE WHEN test_dvs THEN CAST(ceil(max_test_samples / CAST(batch_size AS DOUBLE)) AS BIGINT) * batch_size * batch_size * l_iterations ELSE 0 END AS dvs_calls FROM a),
-c AS (SELECT *, fcg_baseline_calls + fcg_evolution_calls + fcg_test_calls AS fcg_total_calls, fcg_baseline_tokens + fcg_evolution_tokens + fcg_test_tokens AS fcg_total_tokens,
-  dvs_calls * ({FEW_SHOT_TOKENS} + k_neighbors * {DEMO_TOKENS}) AS dvs_tokens FROM b),
-d AS (SELECT *, fcg_total_calls + dvs_calls AS grand_total_calls, fcg_total_tokens + dvs_tokens AS grand_total_tokens FROM c)
-SELECT name, CAST(fcg_baseline_calls AS BIGINT) AS fcg_baseline_calls, CAST(fcg_baseline_tokens AS BIGINT) AS fcg_baseline_tokens, CAST(fcg_evolution_calls AS BIGINT) AS fcg_evolution_calls,
-  CAST(fcg_evolution_tokens AS BIGINT) AS fcg_evolution_tokens, CAST(fcg_test_calls AS BIGINT) AS fcg_test_calls, CAST(fcg_test_tokens AS BIGINT) AS fcg_test_tokens,
-  CAST(fcg_total_calls AS BIGINT) AS fcg_total_calls, CAST(fcg_total_tokens AS BIGINT) AS fcg_total_tokens, CAST(dvs_calls AS BIGINT) AS dvs_calls, CAST(dvs_tokens AS BIGINT) AS dvs_tokens,
+b AS (SELECT *, max_dev_samples AS baseline_calls, max_dev_samples * tokens_per_zero_shot AS baseline_tokens,
+  max_dev_samples * iterations AS evolution_calls, max_dev_samples * iterations * tokens_per_few_shot AS evolution_tokens,
+  2 * max_test_samples AS test_calls, max_test_samples * (tokens_per_zero_shot + tokens_per_few_shot) AS test_tokens,
+  CASE WHEN with_search THEN CAST(ceil(max_test_samples / CAST(batch_size AS DOUBLE)) AS BIGINT) * batch_size * batch_size * l_iterations ELSE 0 END AS search_calls FROM a),
+c AS (SELECT *, baseline_calls + evolution_calls + test_calls AS phase_one_calls, baseline_tokens + evolution_tokens + test_tokens AS phase_one_tokens,
+  search_calls * ({FEW_SHOT_TOKENS} + k_neighbors * {DEMO_TOKENS}) AS search_tokens FROM b),
+d AS (SELECT *, phase_one_calls + search_calls AS grand_total_calls, phase_one_tokens + search_tokens AS grand_total_tokens FROM c)
+SELECT name, CAST(baseline_calls AS BIGINT) AS baseline_calls, CAST(baseline_tokens AS BIGINT) AS baseline_tokens, CAST(evolution_calls AS BIGINT) AS evolution_calls,
+  CAST(evolution_tokens AS BIGINT) AS evolution_tokens, CAST(test_calls AS BIGINT) AS test_calls, CAST(test_tokens AS BIGINT) AS test_tokens,
+  CAST(phase_one_calls AS BIGINT) AS phase_one_calls, CAST(phase_one_tokens AS BIGINT) AS phase_one_tokens, CAST(search_calls AS BIGINT) AS search_calls, CAST(search_tokens AS BIGINT) AS search_tokens,
   CAST(grand_total_calls AS BIGINT) AS grand_total_calls, CAST(grand_total_tokens AS BIGINT) AS grand_total_tokens,
-  round((floor(grand_total_tokens * CAST({SHARE_IN} AS DOUBLE)) * CAST({PRICE_IN} AS DOUBLE) + floor(grand_total_tokens * CAST({SHARE_OUT} AS DOUBLE)) * CAST({PRICE_OUT} AS DOUBLE)) / 1000000, 6) AS estimated_cost_usd,
+  round((floor(grand_total_tokens * CAST({SHARE_IN} AS DOUBLE)) * CAST({PRICE_IN} AS DOUBLE) + floor(grand_total_tokens * CAST({SHARE_OUT} AS DOUBLE)) * CAST({PRICE_OUT} AS DOUBLE)) / 1000000, 6) AS cost_usd,
   CAST(tokens_per_zero_shot AS BIGINT) AS tokens_per_zero_shot, CAST(tokens_per_few_shot AS BIGINT) AS tokens_per_few_shot, CAST(total_demonstrations AS BIGINT) AS total_demonstrations FROM d
 """
 
 
 def estimate(configs: DataFrame) -> DataFrame:
-    """configs: name, k_shots, max_dev_samples, max_test_samples, iterations, batch_size, k_neighbors, l_iterations, test_dvs. One row each."""
+    """configs: name, k_shots, max_dev_samples, max_test_samples, iterations, batch_size, k_neighbors, l_iterations, with_search. One row each."""
     return configs.sparkSession.sql(SQL, configs=configs)

@@ -384,7 +384,7 @@ def q24_best(spark, sf_dir):
     return searched(spark, sf_dir, 2)[0].groupBy("batch_id", "p_id").agg(F.count("*").alias("n"))
 
 
-CONFIG_SQL = "SELECT n_name AS name, n_regionkey + 1 AS k_shots, 10 * (n_nationkey + 1) AS max_dev_samples, 25 * (n_nationkey + 1) AS max_test_samples, 2 + n_regionkey AS iterations, 8 + n_nationkey AS batch_size, 5 AS k_neighbors, 3 AS l_iterations, n_regionkey <> 2 AS test_dvs FROM nation"
+CONFIG_SQL = "SELECT n_name AS name, n_regionkey + 1 AS k_shots, 10 * (n_nationkey + 1) AS max_dev_samples, 25 * (n_nationkey + 1) AS max_test_samples, 2 + n_regionkey AS iterations, 8 + n_nationkey AS batch_size, 5 AS k_neighbors, 3 AS l_iterations, n_regionkey <> 2 AS with_search FROM nation"
 
 
 @query("q25_estimate", estimate.SQL.replace("{configs}", f"({CONFIG_SQL})"))
