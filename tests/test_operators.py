@@ -333,3 +333,19 @@ def test_config_is_checked():
     with pytest.raises(ValueError):
         SelectionConfig(alpha=2)
     assert SelectionConfig().key() != SelectionConfig(seed=1).key()
+
+
+def test_estimate(spark):
+    from equisift.operators.estimate import estimate
+
+    config = spark.createDataFrame(
+        [("no search", 2, 10, 21, 3, 10, 5, 3, False), ("search", 2, 10, 21, 3, 10, 5, 3, True)],
+        "name string, k_shots int, max_dev_samples int, max_test_samples int, iterations int, batch_size int, k_neighbors int, l_iterations int, with_search boolean",
+    )
+    few = 170 + 8 * 70
+    got = {r["name"]: r for r in estimate(config).collect()}
+    for name, calls in (("no search", 0), ("search", 3 * 10 * 10 * 3)):
+        r = got[name]
+        assert r["grand_total_calls"] == 10 + 30 + 42 + calls and r["search_calls"] == calls
+        assert r["grand_total_tokens"] == 10 * 155 + 30 * few + 21 * (155 + few) + calls * (170 + 5 * 70)
+        assert r["cost_usd"] == pytest.approx(r["grand_total_tokens"] * 1.05e-7, abs=1e-6)
