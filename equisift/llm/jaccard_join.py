@@ -142,6 +142,17 @@ def _needed(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent} - greatest(({percent} * {a} + 99) div 100, ({percent} * {b} + 99) div 100) + 1)"
 
 
+def _least_needed(n: str, low: str, high: str, percent: int) -> str:
+    """SQL: the least of _needed(n, m) over the sizes m from low to high that can link with a set of size n; some such size must exist.
+
+    Up to n it rises with m, so its least is at the low end. Above n it is ceil(x) - ceil(y) + 1 with x - y falling by t^2 / (1 + t) for each m: from the high end it dips
+    by rounding, but sizes ceil((1 + t) / t^2) or more below that end need no fewer than the end does, so the sizes nearer to it are all tried.
+    """
+    low, high = (f"least(greatest({e}, ({percent} * {n} + 99) div 100), (100 * {n}) div {percent})" for e in (low, high))
+    tried = -(-100 * (100 + percent) // percent**2)
+    return f"least({', '.join(_needed(n, m, percent) for m in (low, *(f'greatest({low}, {high} - {i})' for i in range(tried))))})"
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozenset, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole shingle sets reach the similarity. rows: (id, text); first: (cls, first_id), an id of each class.
 
@@ -257,9 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     union = weighed.select("token", F.col("grp").alias("to"), "low", "high", "weight").distinct()
     near = f"{percent} * q.n <= 100 * u.high and {percent} * u.low <= 100 * q.n"
     counted = weighed.alias("q").join(union.alias("u"), F.expr(f"q.token = u.token and struct(q.weight, q.grp) < struct(u.weight, u.to) and {near}")).groupBy("q.cls", "q.n", "u.to", "u.low", "u.high").agg(F.count("*").alias("c"))
-    # _needed is least at an end of the sizes that can link.
-    ends = [f"least(greatest({e}, ({percent} * n + 99) div 100), (100 * n) div {percent})" for e in ("low", "high")]
-    open_ = counted.filter(F.expr(f"c >= least({_needed('n', ends[0], percent)}, {_needed('n', ends[1], percent)})")).select("cls", "to")
+    open_ = counted.filter(F.expr(f"c >= {_least_needed('n', 'low', 'high', percent)}")).select("cls", "to")
     sized = groups.groupBy(F.col("label").alias("to")).agg(F.count("*").alias("members"))
     inside = weighed.join(open_.join(sized, "to", "left"), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("to").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     inside = cut(inside, "jaccard-open")

@@ -130,6 +130,35 @@ def test_needed_is_a_lower_bound(spark):
     assert df.filter(f"c < {jaccard_join._needed('na', 'nb', 75)}").count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 90])
+def test_the_bound_of_a_group_is_the_least_of_its_sizes(spark, percent):
+    def needed(a, b):
+        return (percent * (a + b) + 99 + percent) // (100 + percent) - max((percent * a + 99) // 100, (percent * b + 99) // 100) + 1
+
+    cases = []
+    for n in [*range(1, 41), 100, 101, 997]:
+        sizes = range((percent * n + 99) // 100, 100 * n // percent + 1)
+        for low in {sizes[0] - 3, *sizes[:: max(1, len(sizes) // 12)], n}:
+            for high in {*sizes[:: max(1, len(sizes) // 12)], n, sizes[-1], sizes[-1] + 5}:
+                if low <= high:
+                    cases.append((n, low, high, min(needed(n, m) for m in sizes if low <= m <= high)))
+    df = spark.createDataFrame(cases, "n int, low int, high int, least int")
+    assert df.filter(f"{jaccard_join._least_needed('n', 'low', 'high', percent)} <> least").collect() == []
+
+
+def test_a_group_whose_inner_size_needs_less_is_opened(spark):
+    """A (10 shingles) links only with B (11), which is in a group with C (12) and D (10); A and B share one prefix token, sizes 10 and 12 need two."""
+    words = WordHashes()
+    rows = []
+    for f in range(12):
+        own = sorted((f"w{f}x{i}" for i in range(13)), key=lambda w: int(shingles(w.encode(), words, 1)[0]))
+        a, p, q, x, *s = own
+        for text in ([a, *s], [p, q, *s], [p, q, x, *s], [p, q, *s[:8]]):
+            rows.append((len(rows), " ".join(text), "en", "s", 0))
+    got = rows_of(jaccard_components(spark.createDataFrame(rows, SCHEMA), k=1), "doc_id", "n_shingles", "component_id")
+    assert got == brute(rows, 1)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(64)]
