@@ -115,3 +115,13 @@ def test_calibration():
     slope, intercept = calibrate(x, y, float(y.mean()))
     assert abs(slope - 2) < 0.1 and abs(intercept + 1) < 0.1
     assert all(np.isfinite(calibrate(np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.5)))
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    """Each class begins with texts of more than its bytes, whatever the hash order."""
+    docs = spark.createDataFrame([(i, "é" * 9_000 if i % 4 < 2 else f"short {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 100, 32_000, 1)
+    for y in (0, 1):
+        own = [t for t, label in got if label == y]
+        assert len(own) >= 30 and sum(len(t.encode()) for t in own) <= 16_000 and any(t.startswith("é") for t in own) and any(t.startswith("short") for t in own)
