@@ -26,7 +26,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, record_type: str, payload_digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | str, url: str, payload: bytes, record_type: str, payload_digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit has its payload left out."""
     block = payload if record_type == "response" else b""
     # Line ends in a url would forge headers.
@@ -43,7 +43,7 @@ def record(page_id: int, url: str, payload: bytes, record_type: str, payload_dig
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Adds record_type, payload_digest, refers_to: of equal payloads of at least min_bytes the greatest id is the response, others revisit it.
+    """Adds record_type, payload_digest, refers_to: of equal payloads of at least min_bytes the greatest id is the response, others (null ids too) revisit it.
 
     Only (id, digests) are grouped, with a pre-aggregated maximum, so a payload that many pages share is no burden.
     """
@@ -51,17 +51,19 @@ def roles(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min
     rows = pages.withColumns({"_key": F.sha2(payload, 256), "_n": F.octet_length(payload)})
     best = rows.filter(F.col("_n") >= min_bytes).groupBy("_key").agg(F.max(id_col).alias("_first"))
     rows = rows.join(best, "_key", "left")
-    revisit = F.col("_first").isNotNull() & (F.col("_first") != F.col(id_col))
+    revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(id_col))
     return rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_key", "_n", "_first")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0, null_ids: bool = False) -> DataFrame:
     """Writes a record per row to gzip WARC files under path; returns the manifest (file, bytes, records), itself written beside them.
 
     Files get names of their own and only those of tasks that succeeded are in the manifest, so a task may run again.
-    Null payloads are empty, null urls too. Ids must be distinct and not null. Without rows there are no files.
+    Null payloads are empty, null urls too. Rows with a null id are left out, or with null_ids get record ids page:null-<a uuid>. Of rows that share an id each has its record,
+    under one record id. Without rows there are no files.
     """
-    rows = roles(pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.col(text_col).alias("html")).filter("page_id is not null"), "page_id", "html", min_bytes)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.col(text_col).alias("html"))
+    rows = roles(rows if null_ids else rows.filter("page_id is not null"), "page_id", "html", min_bytes)
     rows = rows.select("page_id", "url", "html", "record_type", "refers_to")
 
     def run(batches):
@@ -76,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             meta = batch.select(["page_id", "url", "record_type", "refers_to"]).to_pylist()
             for r, html in zip(meta, utf8(batch.column("html"))):
                 html = html or b""
-                member = record(r["page_id"], r["url"], html, r["record_type"], digest(html), r["refers_to"])
+                member = record(f"null-{uuid.uuid4().hex}" if r["page_id"] is None else r["page_id"], r["url"], html, r["record_type"], digest(html), r["refers_to"])
                 out.write(member)
                 size += len(member)
                 n += 1
@@ -185,14 +187,14 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_path(spark, "warc"))
-    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1).cast("long")
+    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_path(spark, "warc"), null_ids=True)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"page:(-?\d+)>", 1), F.lit("")).cast("long")
     rows = read_warc(spark, manifest).select(
         number("record_id").alias("page_id"), "record_type", F.when(F.col("refers_to").isNotNull(), number(F.coalesce("refers_to", F.lit("page:0>")))).alias("refers_to"),
         "payload_digest", F.octet_length("payload").cast("long").alias("own_bytes"),
     )
     rows = cut(rows, "warc-records")
-    # A revisit's full payload is that of the response it refers to.
-    sizes = rows.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("full_bytes"))
-    out = rows.join(sizes, "refers_to", "left")
+    # A revisit's full payload is that of the response it refers to; pages that share an id are told apart by the digest.
+    sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("full_bytes"))
+    out = rows.join(sizes, ["refers_to", "payload_digest"], "left")
     return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -79,3 +79,11 @@ def test_no_rows(spark):
 def test_null_ids_have_no_record(spark):
     manifest = m.write_warc(spark.createDataFrame([(None, "u", "x"), (1, "u", "x")], SCHEMA), shared_path(spark, "warc-test"))
     assert m.read_warc(spark, manifest).count() == 1
+
+
+def test_query_returns_a_row_per_page(spark, tmp_path):
+    rows = [(None, "u", "x"), (None, "u", "alone"), (1, "u", "x"), (9, "u", "x"), (9, "u", "x"), (9, "v", "longer"), (2, "u", "longer")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in m.op9_warc(spark, str(tmp_path)).collect()]
+    want = [(None, 1, "revisit", 9), (None, 5, "response", None), (1, 1, "revisit", 9), *[(9, 1, "response", None)] * 2, (9, 6, "response", None), (2, 6, "revisit", 9)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
