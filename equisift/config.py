@@ -25,7 +25,8 @@ class SelectionConfig:
     k_neighbors: int = 5
     search_rounds: int = 5
     batch_size: int = 10
-    lloyd_rounds: int = 10
+    lloyd_rounds: int = 300
+    lloyd_starts: int = 10
     seed: int = 42
 
     def __post_init__(self):

@@ -11,10 +11,10 @@ from ..functions.vectors import distance
 DIGITS = 9
 
 
-def first_centroids(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """(sg, cluster, c): k rows of each cell in the order of a uniform; a cell of fewer rows has fewer clusters."""
+def first_centroids(rows: DataFrame, k: int, seed: int, start: int = 0) -> DataFrame:
+    """(sg, cluster, c): k rows of each cell in the order of a uniform of this start; a cell of fewer rows has fewer clusters."""
     order = Window.partitionBy("sg").orderBy("_u", "row_id")
-    picked = rows.withColumn("_u", uniform(seed, "kmeans", 0)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    picked = rows.withColumn("_u", uniform(seed, "kmeans", start)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     return picked.select("sg", (F.col("_r") - 1).alias("cluster"), F.col("v").alias("c"))
 
 
@@ -32,12 +32,30 @@ def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.join(means, ["sg", "cluster"], "left").select("sg", "cluster", F.coalesce("mean", "c").alias("c"))
 
 
-def lloyd(rows: DataFrame, k: int, rounds: int, seed: int) -> DataFrame:
-    """Centroids after so many rounds, all cells in the same jobs. The centroids (at most k for a cell) are settled each round; rows are not."""
-    centroids = settle(first_centroids(rows, k, seed))
+def lloyd(rows: DataFrame, k: int, rounds: int, seed: int, starts: int = 1) -> DataFrame:
+    """Centroids once none moves, or after so many rounds; all cells and starts in the same jobs. Of several starts each cell keeps the one with the least sum of squared distances (ties: the
+    first). The centroids (at most k for a cell and start) are settled each round; rows are not."""
+    if starts > 1:
+        cells = None
+        for s in range(starts):
+            own = first_centroids(rows, k, seed, s).withColumn("sg", F.struct("sg", F.lit(s).alias("start")))
+            cells = own if cells is None else cells.unionByName(own)
+        each = rows.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("sg", F.struct("sg", F.col("_start").alias("start"))).drop("_start")
+    else:
+        each, cells = rows, first_centroids(rows, k, seed)
+    centroids = settle(cells)
     for _ in range(rounds):
-        centroids = settle(update(assign(rows, centroids), centroids))
-    return centroids
+        new = settle(update(assign(each, centroids), centroids))
+        moved = new.join(centroids.withColumnRenamed("c", "_old"), ["sg", "cluster"]).filter("c <> _old").limit(1).count()
+        centroids = new
+        if not moved:
+            break
+    if starts == 1:
+        return centroids
+    cost = assign(each, centroids).groupBy("sg").agg(F.round(F.sum(F.col("dist") * F.col("dist")), DIGITS - 3).alias("cost"))
+    best = cost.groupBy(F.col("sg.sg").alias("cell")).agg(F.min(F.struct("cost", "sg.start"))["start"].alias("start"))
+    best = best.select(F.struct(F.col("cell").alias("sg"), "start").alias("sg"))
+    return settle(centroids.join(best, "sg").select(F.col("sg.sg").alias("sg"), "cluster", "c"))
 
 
 def representatives(rows: DataFrame, centroids: DataFrame, n_clusters: int, m: int) -> DataFrame:

@@ -349,3 +349,15 @@ def test_estimate(spark):
         assert r["grand_total_calls"] == 10 + 30 + 42 + calls and r["search_calls"] == calls
         assert r["grand_total_tokens"] == 10 * 155 + 30 * few + 21 * (155 + few) + calls * (170 + 5 * 70)
         assert r["cost_usd"] == pytest.approx(r["grand_total_tokens"] * 1.05e-7, abs=1e-6)
+
+
+def test_lloyd_restarts_and_converges(spark):
+    """Three far groups in each of 12 cells: single starts end in poor optima of some cell, ten starts in none."""
+    rng = random.Random(3)
+    rows = [(f"c{c}", 100 * c + i, [rng.random() + (0, 100, 112)[i % 3], rng.random()]) for c in range(12) for i in range(18)]
+    df = spark.createDataFrame(rows, "sg string, row_id long, v array<double>")
+    cost = lambda centroids: {r["sg"]: r["cost"] for r in clustering.assign(df, centroids).groupBy("sg").agg(F.sum(F.col("dist") * F.col("dist")).alias("cost")).collect()}
+    assert max(cost(clustering.lloyd(df, 3, 2, 1)).values()) > 100
+    many = clustering.lloyd(df, 3, 300, 1, 10)
+    assert max(cost(many).values()) < 10 and many.count() == 36
+    assert sorted(clustering.update(clustering.assign(df, many), many).collect()) == sorted(many.select("sg", "cluster", "c").collect())
