@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .metrics import ALL, long_form
 
@@ -21,6 +21,13 @@ def score_stats(scored: DataFrame, by: str = "sg", score: str = "score") -> Data
     return scored.groupBy(by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
 
 
+def score_extremes(scored: DataFrame, by: str = "sg", score: str = "score", n: int = 3) -> DataFrame:
+    """(by, kind, rank, score): the n greatest ('top') and n least ('bottom') scores of each cell, ties each with a rank of their own; null scores are left out."""
+    rows = scored.filter(F.col(score).isNotNull()).select(by, F.col(score).alias("score"))
+    ranked = lambda kind, order: rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("rank") <= n).select(by, F.lit(kind).alias("kind"), "rank", "score")
+    return ranked("top", F.desc("score")).unionByName(ranked("bottom", F.asc("score")))
+
+
 def demo_stats(demos: DataFrame, value: str, z: str = "z", y: str = "y") -> DataFrame:
     """Counts by z and y, and mean, sample deviation, least and greatest of a column."""
     return demos.agg(

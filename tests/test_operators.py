@@ -361,3 +361,11 @@ def test_lloyd_restarts_and_converges(spark):
     many = clustering.lloyd(df, 3, 300, 1, 10)
     assert max(cost(many).values()) < 10 and many.count() == 36
     assert sorted(clustering.update(clustering.assign(df, many), many).collect()) == sorted(many.select("sg", "cluster", "c").collect())
+
+
+def test_score_extremes(spark):
+    rows = [("a", 0.5), ("a", 0.5), ("a", 0.1), ("a", 0.9), ("a", None), ("b", 2.0), ("b", 1.0)]
+    got = {}
+    for r in reports.score_extremes(spark.createDataFrame(rows, "sg string, score double")).orderBy("rank").collect():
+        got.setdefault((r["sg"], r["kind"]), []).append(r["score"])
+    assert got == {("a", "top"): [0.9, 0.5, 0.5], ("a", "bottom"): [0.1, 0.5, 0.5], ("b", "top"): [2.0, 1.0], ("b", "bottom"): [1.0, 2.0]}
