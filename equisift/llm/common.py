@@ -36,28 +36,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/equisift/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and every executor can read it."""
+def cut(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and every executor can read it. large: its plan shuffled much of the input, so those files should go at once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    # Lets Spark's cleaner delete the shuffle files of the steps that have ended.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if large:  # else Spark's cleaner deletes them when the driver happens to collect its garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._equisift_path = path
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables made by cut() that no later step reads."""
     for df in frames:
-        path = getattr(df, "_equisift_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        if path := getattr(df, "_equisift_path", None):
+            delete(df.sparkSession, path)
 
 
 def id_crc32(col: str | Column) -> Column:

@@ -8,13 +8,16 @@ by their ordered identifiers; whole texts never move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
 #: Least and greatest characters of a chunk, and the marks that end one.
 LEAST, MOST, MARKS = 256, 2048, r"[.!?;:|。]"
 
+#: Identifiers (two longs) that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
@@ -33,7 +36,7 @@ def identifier(chunk: Column) -> Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, n_chunks.
 
-    Of equal texts the row with the most code points in the original, then the least id, stays; of wholly equal
+    Of equal texts the row with the most code points in the original, then the least id, stays (ids are of any type that has an order); of wholly equal
     rows one stays; a null id ranks last. Null and empty texts are one group. An empty table gives no rows. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
@@ -42,23 +45,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         base.withColumn("parts", chunks(F.col("norm"))).select(
             F.monotonically_increasing_id().alias("rid"), "id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform("parts", identifier).alias("parts")
         ),
-        "dedup-docs",
+        "dedup-docs", large=True,
     )
     store = base.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(identifier(F.col("chunk")).alias("part"), "chunk")
-    store = store.groupBy("part.d1", "part.d2", "chunk").agg(F.count("*").alias("n"))
-    verified = store.groupBy("d1", "d2").agg(F.count("*").alias("contents"))
-    seen = slim.select("rid", F.posexplode("parts").alias("pos", "part")).select("rid", "pos", "part.d1", "part.d2")
-    recipe = seen.join(verified, ["d1", "d2"]).groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "d1", "d2"))).alias("recipe"), F.max("contents").alias("contents")
-    )
-    # An identifier of several contents says nothing; the SHA-256 below then decides alone.
-    recipe = recipe.select("rid", F.when(F.col("contents") == 1, F.transform("recipe", lambda x: F.struct(x.d1.alias("d1"), x.d2.alias("d2")))).alias("recipe"))
-    rows = slim.select("rid", "id", "points", "text_sha256", F.size("parts").alias("n_chunks")).join(recipe, "rid", "left")
-    rows = cut(rows.withColumn("recipe", F.coalesce("recipe", F.array().cast("array<struct<d1:bigint,d2:bigint>>"))), "dedup-recipes")
-    best = rows.groupBy("text_sha256", "recipe").agg(
-        F.max(F.struct("points", (-F.col("id")).alias("neg"), (-F.col("rid")).alias("negrid"))).alias("best"), F.count("*").alias("group_size")
-    )
-    best = best.select("text_sha256", "recipe", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.negrid")).alias("keep_rid"), "group_size")
+    # Each distinct chunk goes once to the place of its identifier; one that meets another content there says nothing, and the SHA-256 then decides alone.
+    contents = store.groupBy("part.d1", "part.d2", "chunk").agg(F.lit(1).alias("one")).groupBy("d1", "d2").agg(F.count("*").alias("contents"))
+    clashes = cut(contents.filter("contents > 1").select("d1", "d2"), "dedup-clashes", large=True)
+    rows = slim.select("rid", "id", "points", "text_sha256", F.size("parts").alias("n_chunks"), F.col("parts").alias("recipe"))
+    if n := clashes.count():
+        side = F.broadcast(clashes) if n <= BROADCAST_ROWS else clashes
+        bad = slim.select("rid", F.explode("parts").alias("part")).select("rid", "part.d1", "part.d2").join(side, ["d1", "d2"], "left_semi").select("rid").distinct()
+        rows = rows.join(bad.withColumn("bad", F.lit(True)), "rid", "left").withColumn("recipe", F.when(F.col("bad").isNull(), F.col("recipe")).otherwise(F.array().cast(rows.schema["recipe"].dataType))).drop("bad")
+    first = F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), "id", "rid")
+    best = rows.groupBy("text_sha256", "recipe").agg(F.min(first).alias("best"), F.count("*").alias("group_size"))
+    # Cut, so that the join deals both its sides and Spark can split a group that many rows share.
+    best = cut(best.select("text_sha256", "recipe", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size"), "dedup-groups")
     return rows.join(best, ["text_sha256", "recipe"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "n_chunks"
     )

@@ -2,7 +2,7 @@
 
 The hashes of a text's lines (blank lines aside) are winnowed: every window of RUN_LINES lines gives its least hash as a fingerprint, and a line of
 LONG_WORDS words or more is a fingerprint by itself, so every run that counts holds one. Fingerprints found once in the corpus end there;
-the others carry their neighbours' hashes, and a match is extended over them both ways: window by window, which covers a run of any length.
+the others carry their neighbours' hashes (128 bits a line: lines with equal hashes count as equal), and a match is extended over them both ways: window by window, which covers a run of any length.
 Of equal runs the first in (id, line) order stays; every later one is deleted.
 """
 
@@ -12,25 +12,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, utf8
+from .common import cut, forget, utf8
 
 #: A repeated run counts from so many lines on; a line of so many words is a run by itself.
 RUN_LINES, LONG_WORDS = 3, 8
+_MASK = (1 << 64) - 1
 _BLANK = b" \t\r\x0b\x0c"
 
 
 def fingerprints(text: bytes, run_lines: int, long_words: int):
-    """(hash, position, long, hashes and line numbers of the lines up to run_lines - 1 before and after) of the selected lines.
-    Positions count lines that aren't blank."""
+    """(hash, position, long, place among, hashes of and numbers of the lines up to run_lines - 1 before and after) of the selected lines.
+    Positions count lines that aren't blank. A line has two hashes of 64 bits, one after the other; the first selects."""
     lines = [(i, s) for i, x in enumerate(text.split(b"\n")) if (s := x.strip(_BLANK))]
-    h = [xxhash.xxh3_64_intdigest(s) - (1 << 63) for _, s in lines]
+    both = [(x >> 64, x & _MASK) for _, s in lines for x in (xxhash.xxh3_128_intdigest(s),)]
+    h, flat = [a - (1 << 63) for a, _ in both], [x - (1 << 63) for pair in both for x in pair]
     long = [len(s.split()) >= long_words for _, s in lines]
     picked = {i for i, v in enumerate(long) if v}
     for a in range(len(h) - run_lines + 1):
         picked.add(min(range(a, a + run_lines), key=lambda j: (h[j], -j)))
     for i in sorted(picked):
         a, b = max(0, i - run_lines + 1), min(len(h), i + run_lines)
-        yield h[i], i, long[i], i - a, h[a:b], [lines[j][0] for j in range(a, b)]
+        yield h[i], i, long[i], i - a, flat[2 * a : 2 * b], [lines[j][0] for j in range(a, b)]
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
@@ -54,23 +56,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ["fp", "id", "th", "pos", "long", "at", "near", "numbers"],
                 )
 
-    fps = cut(rows.mapInArrow(run, f"fp bigint, id {kind}, th bigint, pos int, long boolean, at int, near array<bigint>, numbers array<int>"), "line-fingerprints")
+    fps = cut(rows.mapInArrow(run, f"fp bigint, id {kind}, th bigint, pos int, long boolean, at int, near array<bigint>, numbers array<int>"), "line-fingerprints", large=True)
     # Nulls come last in the order of ids.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos").alias("place")
     shared = fps.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("fp")
+    # Cut, as first below, so that the joins deal both their sides and Spark can split a line that many texts have.
+    shared = cut(shared, "line-shared")
     live = fps.join(shared, "fp", "left_semi")
     # Both ways from the fingerprint: each window of run_lines lines that holds it, and the line alone if it is long.
-    starts = F.sequence(F.greatest(F.lit(0), F.col("at") - (run_lines - 1)), F.least(F.col("at"), F.size("near") - run_lines))
-    windows = F.when(F.size("near") - run_lines >= F.greatest(F.lit(0), F.col("at") - (run_lines - 1)), F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(run_lines).alias("n"))))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("at") - (run_lines - 1)), F.least(F.col("at"), F.size("numbers") - run_lines))
+    windows = F.when(F.size("numbers") - run_lines >= F.greatest(F.lit(0), F.col("at") - (run_lines - 1)), F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(run_lines).alias("n"))))
     alone = F.when(F.col("long"), F.array(F.struct(F.col("at").alias("start"), F.lit(1).alias("n"))))
     none = F.array().cast("array<struct<start:int,n:int>>")
     runs = live.withColumn("w", F.explode(F.concat(F.coalesce(windows, none), F.coalesce(alone, none))))
     runs = runs.select(
-        F.slice("near", F.col("w.start") + 1, F.col("w.n")).alias("key"), "id", "th", (F.col("pos") - F.col("at") + F.col("w.start")).alias("pos"),
+        F.slice("near", 2 * F.col("w.start") + 1, 2 * F.col("w.n")).alias("key"), "id", "th", (F.col("pos") - F.col("at") + F.col("w.start")).alias("pos"),
         F.slice("numbers", F.col("w.start") + 1, F.col("w.n")).alias("numbers"),
     ).distinct()
-    runs = cut(runs, "line-runs")
+    runs = cut(runs, "line-runs", large=True)
+    forget(fps, shared)
     first = runs.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = cut(first, "line-first")
     later = runs.join(first, "key").filter(~F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos").eqNullSafe(F.col("first")))
     return later.select("id", "th", F.explode("numbers").alias("number")).distinct().groupBy("id", "th").agg(F.collect_list("number").alias("removed"))
 

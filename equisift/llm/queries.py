@@ -21,4 +21,6 @@ ORACLE_SQL = {
     "op1_ngram_jaccard": jaccard_join.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op8_proportional_sharding": sharding.ORACLE,
+    "op9_warc": warc.ORACLE,
 }

@@ -36,8 +36,9 @@ def proportional_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id",
     base = docs.select(
         F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    base = base.withColumn("h", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
-    base = cut(base.withColumn("u", F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))), "shard-rows")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), "text_crc32", "size"))
+    base = base.withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
+    base = cut(base.withColumn("u", F.col("h") / F.lit(float(1 << 52))), "shard-rows")
     total = base.count()
     buckets = max(1, total // BUCKET_ROWS)
     rows = base.withColumn("b", F.floor(F.col("u") * buckets))
@@ -66,3 +67,17 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "d
 def op8_proportional_sharding(spark, sf_dir: str) -> DataFrame:
     placed = proportional_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "frac")
+
+
+#: DuckDB has no CRC-32: it is stepped over the text's bytes, with a table made by its rule.
+ORACLE = """
+WITH t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, source, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, source, size, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(x, '..'), lambda d: ('0x' || d)::BIGINT)),
+  lambda a, d: xor(a >> 8, t.crc[1 + (xor(a, d) & 255)])))::BIGINT AS text_crc32 FROM b, t),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '7', doc_id::VARCHAR, text_crc32::VARCHAR, size::VARCHAR)), 1, 13))::BIGINT AS h FROM c),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY source)) AS frac FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, source, h, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM f),
+s AS (SELECT *, (pos * 24 // total)::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, pos - (shard::BIGINT * total + 23) // 24 AS slot, NULL::INT AS grown_shard, source, frac FROM s
+"""

@@ -2,6 +2,7 @@
 
 The reader's tasks take byte ranges of the files. A task scans its range for gzip's magic bytes; a candidate counts if
 the member decodes and its head is a WARC version line with the needed headers; records that start inside the range are the task's own, even if they end beyond it.
+Payloads are UTF-8, in which the magic's 0x8B can't follow 0x1F, so a payload that deflate stores as it is never looks like a record.
 """
 
 from __future__ import annotations
@@ -15,11 +16,19 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, shared_path, utf8
+from .common import cut, delete, forget, shared_path, utf8
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 _READ = 1 << 18
+#: Rows of one payload are dealt over so many tasks when their roles are looked up.
+SALTS = 16
+
+
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path in it. Hadoop's names of S3 are translated; schemes that pyarrow can't open (viewfs, wasbs) are an error."""
+    scheme, sep, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else path)
 
 
 def digest(payload: bytes) -> str:
@@ -45,14 +54,17 @@ def record(page_id: int | str, url: str, payload: bytes, record_type: str, paylo
 def roles(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Adds record_type, payload_digest, refers_to: of equal payloads of at least min_bytes the greatest id is the response, others (null ids too) revisit it.
 
-    Only (id, digests) are grouped, with a pre-aggregated maximum, so a payload that many pages share is no burden.
+    Only (id, digests) are grouped, with a pre-aggregated maximum. Payloads that several rows have are then joined under SALTS keys each, so that rows of a payload that many pages share
+    go to as many tasks. Columns named record_type or refers_to are replaced; others may have any names.
     """
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = pages.withColumns({"_key": F.sha2(payload, 256), "_n": F.octet_length(payload)})
-    best = rows.filter(F.col("_n") >= min_bytes).groupBy("_key").agg(F.max(id_col).alias("_first"))
-    rows = rows.join(best, "_key", "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(id_col))
-    return rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_key", "_n", "_first")
+    names = [c for c in pages.columns if c not in ("record_type", "refers_to")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.sha2(payload, 256).alias("key"), F.octet_length(payload).alias("n"))
+    best = rows.filter(F.col("n") >= min_bytes).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    best = best.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(best, ["key", "salt"], "left")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0, null_ids: bool = False) -> DataFrame:
@@ -71,10 +83,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         size = n = 0
         for batch in batches:
             if batch.num_rows and out is None:
-                store, root = pafs.FileSystem.from_uri(path)
-                store.create_dir(root, recursive=True)
+                fs, root = store(path)
+                fs.create_dir(root, recursive=True)
                 name = f"records-{uuid.uuid4().hex}.warc.gz"
-                out = store.open_output_stream(f"{root}/{name}", compression=None)
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
             meta = batch.select(["page_id", "url", "record_type", "refers_to"]).to_pylist()
             for r, html in zip(meta, utf8(batch.column("html"))):
                 html = html or b""
@@ -86,7 +98,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "bytes": [size], "records": [n]})
 
-    return cut(rows.mapInArrow(run, "file string, bytes bigint, records bigint"), "warc-manifest")
+    return cut(rows.mapInArrow(run, "file string, bytes bigint, records bigint"), "warc-manifest", large=True)
 
 
 def _member(file, at: int, size: int, first: bytes) -> tuple[bytes, int] | None:
@@ -126,8 +138,8 @@ def parse(data: bytes) -> dict | None:
 
 def read_split(path: str, start: int, end: int, size: int):
     """The parsed records of a file that start in [start, end)."""
-    store, where = pafs.FileSystem.from_uri(path)
-    with store.open_input_file(where) as file:
+    fs, where = store(path)
+    with fs.open_input_file(where) as file:
         base, buffer, pos = start, b"", start
         while pos < end:
             if pos - base + 3 > len(buffer):  # read on; two bytes beyond the end may complete a magic that starts inside
@@ -187,14 +199,30 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_path(spark, "warc"), null_ids=True)
+    archive = shared_path(spark, "warc")
+    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), archive, null_ids=True)
     number = lambda c: F.nullif(F.regexp_extract(c, r"page:(-?\d+)>", 1), F.lit("")).cast("long")
     rows = read_warc(spark, manifest).select(
         number("record_id").alias("page_id"), "record_type", F.when(F.col("refers_to").isNotNull(), number(F.coalesce("refers_to", F.lit("page:0>")))).alias("refers_to"),
         "payload_digest", F.octet_length("payload").cast("long").alias("own_bytes"),
     )
-    rows = cut(rows, "warc-records")
+    rows = cut(rows, "warc-records", large=True)
+    delete(spark, archive)
+    forget(manifest)
     # A revisit's full payload is that of the response it refers to; pages that share an id are told apart by the digest.
     sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("full_bytes"))
-    out = rows.join(sizes, ["refers_to", "payload_digest"], "left")
-    return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # Responses need no lookup. Sizes are cut, so that the join deals both its sides and Spark can split a response that many revisit.
+    again = rows.filter("record_type = 'revisit'").join(cut(sizes, "warc-sizes"), ["refers_to", "payload_digest"], "left").withColumn("own_bytes", F.col("full_bytes"))
+    names = ["page_id", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"]
+    return rows.filter("record_type = 'response'").select(*names).unionByName(again.select(*names))
+
+
+#: Ids are taken as distinct and not null. DuckDB has no base32: five hex digits are four of its digits.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r
+"""

@@ -102,6 +102,66 @@ def test_long_texts_are_scored_whole(labelled):
     assert weights[toxicity.features((good + " vilewort scumword hateterm").encode(), words)].sum() > weights[toxicity.features(good.encode(), words)].sum()
 
 
+def test_quality_scores_equal_two_compressors(labelled):
+    """The score by hand: each block of 1 KB compressed with either dictionary, sizes' difference over the text's bytes, logistic."""
+    import math
+
+    import zstandard
+
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for i, s in rows_of(quality.score(docs, model), "doc_id", "score"):
+        blocks = [texts[i][k : k + 1024] for k in range(0, len(texts[i]), 1024)]
+        x = (sum(len(bad.compress(b)) for b in blocks) - sum(len(good.compress(b)) for b in blocks)) / len(texts[i])
+        assert s == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.intercept))), abs=1e-9)
+
+
+def plain_ftrl(sample, epochs=3, alpha=0.3, beta=1.0, l1=20.0, l2=1.0, least=4, seed=10):
+    """FTRL-proximal one coordinate at a time, over dicts; the weights before calibration."""
+    import math
+
+    words = toxicity.WordHashes()
+    x = [(toxicity.features(t.encode(), words).tolist(), y) for t, y in sample]
+    x = [v for i, v in enumerate(x) if i % 8]
+    seen, z, n = {}, {}, {}
+    for f, _ in x:
+        for k in f:
+            seen[k] = seen.get(k, 0) + 1
+    ones = sum(y for _, y in x)
+    zb = nb = 0.0
+
+    def w_of(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(x)):
+            f, y = x[i]
+            f = [k for k in f if seen[k] >= least]
+            w = {k: w_of(k) for k in f}
+            b = -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = len(x) / (2 * (ones if y else len(x) - ones)) * (1 / (1 + math.exp(-(sum(w.values()) + b))) - y)
+            for k in f:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+            zb, nb = zb + g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * b, nb + g * g
+    return {k: w_of(k) for k in z if w_of(k)}
+
+
+def test_weights_equal_plain_ftrl(labelled):
+    """The batched learner against one that takes a coordinate at a time: the same features, and weights in one proportion, the calibration's slope."""
+    docs, labels = labelled
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 100, 1 << 30, 10)
+    model, plain = toxicity.fit(sample, l1=2.0), plain_ftrl(sample, l1=2.0)
+    assert model.places.tolist() == sorted(plain) and len(plain) > 5
+    ratio = model.weights / np.array([plain[k] for k in model.places.tolist()])
+    assert np.allclose(ratio, ratio[0], rtol=1e-6)
+
+
 def test_weights_are_sparse(labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels)

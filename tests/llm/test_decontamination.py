@@ -47,7 +47,7 @@ def case(seed):
 
 def brute(docs, items):
     norm = [(i, m.normalise(t)) for i, t in items]
-    return [(d, sorted(i for i, p in norm if p and distance(p, m.normalise(t)) <= len(p) // m.CHARS_PER_EDIT)) for d, t, *_ in docs]
+    return [(d, sorted(i for i, p in norm if p and distance(f" {p} ", f" {m.normalise(t)} ") <= len(p) // m.CHARS_PER_EDIT)) for d, t, *_ in docs]
 
 
 def test_equals_brute_force(spark):
@@ -59,18 +59,32 @@ def test_equals_brute_force(spark):
     assert rows_of(m.drop_contaminated(df, bench), "doc_id") == sorted(((d,) for d, x in want if not x), key=repr)
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK_BYTES", 500)
+def test_small_slices_rows_and_filter(spark, monkeypatch):
+    """Texts longer than a slice, many rows of items for a text, a filter so full that most windows pass, no broadcast."""
+    for name, value in (("SLICE", 64), ("ITEMS_PER_ROW", 2), ("FILTER_BITS", 10), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(m, name, value)
     docs, items = case(4)
+    docs, items = docs[:30], items[:8]
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     assert rows_of(m.by_document(m.decontaminate(df, bench)), "doc_id", "items") == sorted(brute(docs, items), key=repr)
     assert rows_of(m.drop_contaminated(df, bench), "doc_id") == sorted(((d,) for d, x in brute(docs, items) if not x), key=repr)
 
 
+def test_words_are_whole_and_ids_of_any_type(spark):
+    docs = [("a", "Other words, breathe"), ("b", "over THE hill"), ("c", "the"), ("d", None), ("b", "again (the) end"), (None, "clothe the")]
+    df, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([("i", "the"), ("j", "hill!"), ("i", "THE")], "item_id string, text string")
+    got = rows_of(m.by_document(m.decontaminate(df, bench)), "doc_id", "items", "n_spans")
+    assert got == sorted([("a", [], 0), ("b", ["i", "j"], 3), ("c", ["i"], 2), ("d", [], 0), ("b", ["i"], 2), (None, ["i"], 2)], key=repr)
+    found = {r["doc_id"]: r["spans"] for r in m.decontaminate(df.filter("text like 'over%'"), bench).collect()}
+    assert [(x["item"], x["start"], x["end"], x["distance"]) for x in found["b"]] == [("i", 5, 8, 0), ("i", 5, 8, 0), ("j", 9, 13, 0)]
+
+
 def test_odd_rows(spark, odd, clashing):
     bench = spark.createDataFrame([(1, "null id"), (2, None), (3, ""), (4, "..!"), (5, "one two three"), (None, "x y"), (5, "one two three")], "item_id long, text string")
-    got = dict(rows_of(m.by_document(m.decontaminate(odd, bench)), "doc_id", "items"))
-    assert got[8] == [5] and got[9] == [5] and got[None] == [1] and got[0] == [] and got[13] == [None]
+    rows = rows_of(m.by_document(m.decontaminate(odd, bench)), "doc_id", "items")
+    got = dict(rows)
+    assert len(rows) == odd.count() and (None, [1]) in rows and (None, []) in rows
+    assert got[8] == [5] and got[9] == [5] and got[0] == [] and got[13] == [None]
     left = m.drop_contaminated(clashing, bench)
     assert left.columns == clashing.columns and left.count() == odd.count() - 4
 

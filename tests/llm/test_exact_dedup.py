@@ -33,6 +33,14 @@ def test_odd_rows(odd, clashing):
     check(m.exact_dedup(clashing), rows)
 
 
+def test_text_ids(spark):
+    """Ids of any type that has an order: of equal texts of one length the least id stays, nulls last."""
+    rows = [("b", "x y", None, None, None), ("a", "xy ", None, None, None), (None, "x y", None, None, None), ("c", "other", None, None, None), ("10", "x y", None, None, None), ("9", " xy", None, None, None)]
+    got = m.exact_dedup(spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string")))
+    assert rows_of(got, "doc_id", "keep_id", "group_size") == sorted([(r[0], "c" if r[0] == "c" else "10", 1 if r[0] == "c" else 5) for r in rows], key=repr)
+    assert got.filter("kept").count() == 2
+
+
 def test_no_rows(empty):
     assert m.exact_dedup(empty).collect() == []
 

@@ -61,7 +61,7 @@ def test_run_equals_brute_force(spark, folder):
     assert len(stay) < len(kept)
     kept = [r for r in kept if r[0] in stay]
     norm = [decontamination.normalise(t) for _, t in items]
-    clean = [r for r in kept if not any(distance(p, decontamination.normalise(r[1])) <= len(p) // decontamination.CHARS_PER_EDIT for p in norm)]
+    clean = [r for r in kept if not any(distance(f" {p} ", f" {decontamination.normalise(r[1])} ") <= len(p) // decontamination.CHARS_PER_EDIT for p in norm)]
     assert len(clean) < len(kept)
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     want = sorted(((r[0], len(library.encode(r[1] or "")), True) for r in clean), key=repr)

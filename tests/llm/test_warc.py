@@ -81,6 +81,32 @@ def test_null_ids_have_no_record(spark):
     assert m.read_warc(spark, manifest).count() == 1
 
 
+def test_one_payload_of_nearly_all_pages(spark, tmp_path):
+    """Rows of a payload go to several tasks, and each revisits the greatest id."""
+    rows = [(i, f"http://h/{i}", "error page" if i % 50 else f"own {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in m.op9_warc(spark, str(tmp_path)).collect()}
+    assert got == expected(rows)
+    spread = m.roles(df).filter("refers_to = 2999").select(F.spark_partition_id().alias("p")).distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert spread.count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_of_s3(monkeypatch):
+    seen = []
+    fake = type("Fake", (), {"FileSystem": type("FileSystem", (), {"from_uri": staticmethod(lambda uri: seen.append(uri) or (None, uri))})})
+    monkeypatch.setattr(m, "pafs", fake)
+    for uri in ("s3a://bucket/x", "s3n://bucket/x", "file:///x"):
+        m.store(uri)
+    assert seen == ["s3://bucket/x", "s3://bucket/x", "file:///x"]
+
+
 def test_query_returns_a_row_per_page(spark, tmp_path):
     rows = [(None, "u", "x"), (None, "u", "alone"), (1, "u", "x"), (9, "u", "x"), (9, "u", "x"), (9, "v", "longer"), (2, "u", "longer")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
