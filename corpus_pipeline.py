@@ -1,9 +1,10 @@
 """Cleaning a corpus in stages. Each stage works on what the one before kept.
 
-Ids of documents should be distinct. Null texts count as empty ones. Rows with a null id go through all stages but stay in near_dedup, where an id names who stays. Further columns are kept up to the last stage.
+Ids of documents should be distinct. Null texts count as empty ones. Rows with a null id go through all stages but stay in near_dedup, where an id names who stays. Further columns, of any names, are
+kept up to the last stage, which keeps them too but for the text and those named like its own (ids, n_tokens, ids_hash, round_trip).
 
 quality: texts that the compression classifier rejects go; exact_dedup: of equal texts one stays; near_dedup: of each component of similar texts the one with
-the least id stays; decontamination: texts with a benchmark passage go; tokens: the rest is encoded, and decoded again as a proof.
+the least id stays; decontamination: texts with a benchmark passage go; tokens: the rest is encoded, and decoded again as a proof; the ids are the product.
 """
 
 from __future__ import annotations
@@ -14,24 +15,34 @@ from equisift.llm import decontamination, exact_dedup, jaccard_join, pieces, qua
 from equisift.llm.common import forget, shared_path
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column has (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model, out_col="_quality").filter(F.col("_quality") >= 0.5).drop("_quality")
+    score = unused(docs, "quality_score")
+    return quality.with_score(docs, model, out_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    kept = kept.withColumnsRenamed({"doc_id": "_id", "_sha": "_sha2"})
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left_semi")
+    # The row goes along as one column, so that its names meet no others.
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("own_sha"), F.length("text").alias("points"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
     # Wholly repeated rows are copies too.
-    one = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc())
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n", "_sha")
+    one = Window.partitionBy("own_id", "own_sha").orderBy(F.col("points").desc())
+    return rows.withColumn("place", F.row_number().over(one)).filter("place = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = jaccard_join.jaccard_components(docs).select(F.col("component_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = jaccard_join.jaccard_components(docs).select(F.col("component_id").alias("stay")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
