@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ("id", "n", "cls", "token", "score", "h", "u", "b", "shard", "slot", "rid", "ids", "spans", "th", "fp", "pos", "key", "stratum", "size", "frac", "removed", "text_sha256", "part", "counts")
+CLASHES = ("id", "_id", "_sha", "_sha2", "_n", "_stay", "_quality", "row", "own_id", "own_sha", "points", "place", "stay", "sha", "t1", "t2", "key", "salt", "first", "n", "cls", "token", "score", "h", "u", "b", "shard", "slot", "rid", "ids", "spans", "th", "fp", "pos", "stratum", "size", "frac", "removed", "text_sha256", "part", "counts")
 
 
 class Words:
