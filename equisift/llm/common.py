@@ -184,4 +184,6 @@ def connected(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         if not moved:
             break
     forget(both)
-    return step.select("node", "label")
+    out = step.select("node", "label")
+    out._equisift_path = step._equisift_path  # so that forget(out) deletes it
+    return out

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHashes, connected, cut, forget, shingles, utf8
 
@@ -35,8 +35,8 @@ COMMON_FROM, COMMON_LEAST = 4, 32
 BLOCK = 256
 #: Ids (two longs each) that are broadcast at most: 16 MB.
 BROADCAST_ROWS = 1 << 20
-#: Groups of more classes are opened in blocks of about BLOCK_TOKENS rows of the matrix, and of as many rows of queries.
-LARGE, BLOCK_TOKENS = 64, 1 << 16
+#: Groups of more classes are opened in blocks of BLOCK_LEAST to BLOCK_TOKENS rows of the matrix, and of as many rows of queries: about BLOCK_PAIRS pairs of blocks, more for groups whose blocks would be larger.
+LARGE, BLOCK_LEAST, BLOCK_TOKENS, BLOCK_PAIRS = 64, 1 << 10, 1 << 16, 256
 _SEEN = 500_000
 
 
@@ -161,7 +161,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozen
     """
     asked = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first, "cls"), "jaccard-asked")
     side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    texts = cut(rows.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("cls", "text"), "jaccard-texts")
+    texts = cut(rows.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("cls", "text"), "jaccard-texts", large=True)
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(degree, "b").select("a", "b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "blocks")
     spokes = dealt.select(F.col("a").alias("cls"), "b", "block", F.lit(1).alias("kind"))
@@ -186,7 +186,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozen
                         b.append(to)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint")
+    out = cut(met.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint"), "jaccard-links", large=True)
+    forget(asked, texts)
+    return out
 
 
 def _open_large(inside: DataFrame, weighed: DataFrame, percent: int) -> DataFrame:
@@ -194,8 +196,9 @@ def _open_large(inside: DataFrame, weighed: DataFrame, percent: int) -> DataFram
 
     A group's rows of the matrix are dealt into blocks by class, its queries too, and each pair of blocks is counted in numpy: the tokens that a query shares with each class are one bincount.
     """
-    blocks = inside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_TOKENS).alias("qs"))
-    blocks = blocks.join(weighed.select("grp", F.ceil(F.col("weight") / BLOCK_TOKENS).alias("ms")).distinct(), "grp")
+    blocks = inside.groupBy("grp").agg(F.count("*").alias("asked")).join(weighed.select("grp", "weight").distinct(), "grp")
+    size = F.least(F.lit(BLOCK_TOKENS), F.greatest(F.lit(BLOCK_LEAST), F.ceil(F.sqrt(F.col("asked") * F.col("weight") / F.lit(float(BLOCK_PAIRS))))))
+    blocks = blocks.withColumn("size", size).select("grp", F.ceil(F.col("asked") / F.col("size")).alias("qs"), F.ceil(F.col("weight") / F.col("size")).alias("ms"))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     q = inside.join(blocks, "grp").withColumn("qb", block("a", "qs")).withColumn("mb", every("ms")).select("grp", "qb", "mb", "token", "a", "na")
@@ -245,40 +248,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(_levels(found))
     members = found.filter("n >= 0").select("id", "n", F.when(F.col("n") > 0, cls).alias("cls"))
 
-    every = Window.partitionBy("token")
-    shared = _prefixes(rows, levels, clashes, k, percent)
-    shared = shared.withColumns({"x": F.min("cls").over(every), "y": F.max("cls").over(every), "hub": F.max(F.struct("central", "cls")).over(every)["cls"]}).filter("x <> y")
-    shared = cut(shared.drop("x", "y", "central").dropDuplicates(["token", "cls"]), "jaccard-shared")
+    # A token's least and greatest class and its hub are pre-aggregated; both sides of the join are tables, so that Spark can split a token that many classes have.
+    own = cut(_prefixes(rows, levels, clashes, k, percent), "jaccard-prefixes")
+    tokens = own.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.max(F.struct("central", "cls")).alias("top")).filter("x <> y").select("token", F.col("top.cls").alias("hub"))
+    tokens = cut(tokens, "jaccard-tokens", large=True)
+    shared = cut(own.drop("central").join(tokens, "token").dropDuplicates(["token", "cls"]), "jaccard-shared", large=True)
+    forget(own, tokens)
 
     first = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"))
 
     star = shared.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("20 * c >= n")
     star = cut(star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "hub")).alias("best")).select("a", F.col("best.hub").alias("b")), "jaccard-star")
-    links = cut(_verify(star, rows, first, clashes, k, percent), "jaccard-links")
+    links = _verify(star, rows, first, clashes, k, percent)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     groups = connected(nodes, links, "jaccard-groups")
 
     # The matrix: tokens that two groups at least have.
     matrix = shared.select("token", "cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("label", "cls")).drop("label")
-    matrix = matrix.withColumns({"x": F.min("grp").over(every), "y": F.max("grp").over(every)}).filter("x <> y").drop("x", "y")
-    matrix = cut(matrix, "jaccard-matrix")
+    every = cut(matrix, "jaccard-named", large=True)
+    both = cut(every.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token"), "jaccard-tokens")
+    matrix = cut(every.join(both, "token", "left_semi"), "jaccard-matrix", large=True)
+    forget(every, both)
     # Of two groups the smaller one's classes are queries to the larger one's union, so a family is met as one.
     sizes = matrix.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("weight"))
-    weighed = cut(matrix.join(sizes, "grp"), "jaccard-weighed")
+    weighed = cut(matrix.join(sizes, "grp"), "jaccard-weighed", large=True)
     union = weighed.select("token", F.col("grp").alias("to"), "low", "high", "weight").distinct()
     near = f"{percent} * q.n <= 100 * u.high and {percent} * u.low <= 100 * q.n"
     counted = weighed.alias("q").join(union.alias("u"), F.expr(f"q.token = u.token and struct(q.weight, q.grp) < struct(u.weight, u.to) and {near}")).groupBy("q.cls", "q.n", "u.to", "u.low", "u.high").agg(F.count("*").alias("c"))
     open_ = counted.filter(F.expr(f"c >= {_least_needed('n', 'low', 'high', percent)}")).select("cls", "to")
     sized = groups.groupBy(F.col("label").alias("to")).agg(F.count("*").alias("members"))
     inside = weighed.join(open_.join(sized, "to", "left"), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("to").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
-    inside = cut(inside, "jaccard-open")
+    inside = cut(inside, "jaccard-open", large=True)
     small = inside.filter(F.col("members") <= LARGE).join(matrix.select("token", "grp", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "grp"])
     small = small.filter(f"{percent} * na <= 100 * nb and {percent} * nb <= 100 * na").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     small = small.filter(F.expr(f"c >= {_needed('na', 'nb', percent)}")).select("a", "b")
     pairs = small.unionByName(_open_large(inside.filter(F.col("members") > LARGE), weighed, percent))
     tried = star.select("a", "b").union(star.select("b", "a"))
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = cut(_verify(pairs, rows, first, clashes, k, percent), "jaccard-links")
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", large=True)
+    more = _verify(pairs, rows, first, clashes, k, percent)
 
     # Components of groups, then the least id of each.
     lookup = groups.withColumnRenamed("label", "grp")
@@ -292,7 +299,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(named, F.col("cls") == F.col("c2"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = cut(out, "jaccard-result")
-    forget(found, shared, star, links, matrix, weighed, inside, pairs, more)
+    forget(found, shared, star, links, groups, matrix, weighed, inside, pairs, more, joined)
     return out
 
 

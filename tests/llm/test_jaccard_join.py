@@ -62,6 +62,7 @@ def test_equals_brute_force(spark, seed):
 def test_large_groups_are_opened_in_blocks(spark, monkeypatch, large, rows):
     monkeypatch.setattr(jaccard_join, "LARGE", large)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", rows)
+    monkeypatch.setattr(jaccard_join, "BLOCK_LEAST", min(rows, 1 << 10))
     docs = near_rows(3, 10, 14)
     assert rows_of(jaccard_components(spark.createDataFrame(docs, SCHEMA)), "doc_id", "n_shingles", "component_id") == brute(docs)
 
