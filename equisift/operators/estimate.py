@@ -1,4 +1,4 @@
-"""Calls, tokens and cost of a run, as arithmetic over a table of configurations."""
+"""Calls, tokens and cost of a run: a table of its phases, summed up."""
 
 from __future__ import annotations
 
@@ -8,24 +8,34 @@ from pyspark.sql import DataFrame, functions as F
 ZERO_SHOT_TOKENS, FEW_SHOT_TOKENS, DEMO_TOKENS, CELLS = 155, 170, 70, 4
 PRICE_IN, PRICE_OUT, SHARE_IN, SHARE_OUT = 0.10, 0.20, 0.95, 0.05
 
-SQL = f"""
-WITH a AS (SELECT *, {ZERO_SHOT_TOKENS} AS tokens_per_zero_shot, k_shots * {CELLS} AS total_demonstrations, {FEW_SHOT_TOKENS} + k_shots * {CELLS} * {DEMO_TOKENS} AS tokens_per_few_shot FROM {{configs}}),
-b AS (SELECT *, max_dev_samples AS baseline_calls, max_dev_samples * tokens_per_zero_shot AS baseline_tokens,
-  max_dev_samples * iterations AS evolution_calls, max_dev_samples * iterations * tokens_per_few_shot AS evolution_tokens,
-  2 * max_test_samples AS test_calls, max_test_samples * (tokens_per_zero_shot + tokens_per_few_shot) AS test_tokens,
-  CASE WHEN with_search THEN CAST(ceil(max_test_samples / CAST(batch_size AS DOUBLE)) AS BIGINT) * batch_size * batch_size * l_iterations ELSE 0 END AS search_calls FROM a),
-c AS (SELECT *, baseline_calls + evolution_calls + test_calls AS phase_one_calls, baseline_tokens + evolution_tokens + test_tokens AS phase_one_tokens,
-  search_calls * ({FEW_SHOT_TOKENS} + k_neighbors * {DEMO_TOKENS}) AS search_tokens FROM b),
-d AS (SELECT *, phase_one_calls + search_calls AS grand_total_calls, phase_one_tokens + search_tokens AS grand_total_tokens FROM c)
-SELECT name, CAST(baseline_calls AS BIGINT) AS baseline_calls, CAST(baseline_tokens AS BIGINT) AS baseline_tokens, CAST(evolution_calls AS BIGINT) AS evolution_calls,
-  CAST(evolution_tokens AS BIGINT) AS evolution_tokens, CAST(test_calls AS BIGINT) AS test_calls, CAST(test_tokens AS BIGINT) AS test_tokens,
-  CAST(phase_one_calls AS BIGINT) AS phase_one_calls, CAST(phase_one_tokens AS BIGINT) AS phase_one_tokens, CAST(search_calls AS BIGINT) AS search_calls, CAST(search_tokens AS BIGINT) AS search_tokens,
-  CAST(grand_total_calls AS BIGINT) AS grand_total_calls, CAST(grand_total_tokens AS BIGINT) AS grand_total_tokens,
-  round((floor(grand_total_tokens * CAST({SHARE_IN} AS DOUBLE)) * CAST({PRICE_IN} AS DOUBLE) + floor(grand_total_tokens * CAST({SHARE_OUT} AS DOUBLE)) * CAST({PRICE_OUT} AS DOUBLE)) / 1000000, 6) AS cost_usd,
-  CAST(tokens_per_zero_shot AS BIGINT) AS tokens_per_zero_shot, CAST(tokens_per_few_shot AS BIGINT) AS tokens_per_few_shot, CAST(total_demonstrations AS BIGINT) AS total_demonstrations FROM d
-"""
+PHASES = ("baseline", "evolution", "test", "search")
+
+
+def phases(configs: DataFrame) -> DataFrame:
+    """A row for each kind of call that a configuration makes: config, phase, calls, tokens (of one call)."""
+    c = F.col
+    zero, few = F.lit(ZERO_SHOT_TOKENS), c("k_shots") * CELLS * DEMO_TOKENS + FEW_SHOT_TOKENS
+    searched = F.ceil(c("max_test_samples") / c("batch_size")) * c("batch_size") * c("batch_size") * c("l_iterations")
+    kinds = [
+        ("baseline", c("max_dev_samples"), zero),
+        ("evolution", c("max_dev_samples") * c("iterations"), few),
+        ("test", c("max_test_samples"), zero),
+        ("test", c("max_test_samples"), few),
+        ("search", F.when(c("with_search"), searched).otherwise(0), c("k_neighbors") * DEMO_TOKENS + FEW_SHOT_TOKENS),
+    ]
+    rows = [F.struct(F.lit(p).alias("phase"), n.cast("long").alias("calls"), t.cast("long").alias("tokens")) for p, n, t in kinds]
+    return configs.select(F.struct("*").alias("config"), F.inline(F.array(*rows)))
 
 
 def estimate(configs: DataFrame) -> DataFrame:
-    """configs: name, k_shots, max_dev_samples, max_test_samples, iterations, batch_size, k_neighbors, l_iterations, with_search. One row each."""
-    return configs.sparkSession.sql(SQL, configs=configs)
+    """configs: name, k_shots, max_dev_samples, max_test_samples, iterations, batch_size, k_neighbors, l_iterations, with_search. One row each; equal rows count once."""
+    of = lambda value, *names: F.sum(F.when(F.col("phase").isin(*names), value).otherwise(0))
+    first = PHASES[:3]
+    sums = [of(v, *p).alias(f"{n}_{what}") for n, p in [*((p, (p,)) for p in PHASES), ("phase_one", first), ("grand_total", PHASES)] for what, v in (("calls", F.col("calls")), ("tokens", F.col("calls") * F.col("tokens")))]
+    total = phases(configs).groupBy("config").agg(*sums)
+    part = lambda share, price: F.floor(F.col("grand_total_tokens") * F.lit(share)) * F.lit(price)
+    demos = F.col("config.k_shots").cast("long") * CELLS
+    return total.select(
+        "config.name", *[c for c in total.columns if c != "config"], F.round((part(SHARE_IN, PRICE_IN) + part(SHARE_OUT, PRICE_OUT)) / 1_000_000, 6).alias("estimated_cost_usd"),
+        F.lit(ZERO_SHOT_TOKENS).cast("long").alias("tokens_per_zero_shot"), (demos * DEMO_TOKENS + FEW_SHOT_TOKENS).alias("tokens_per_few_shot"), demos.alias("total_demonstrations"),
+    )

@@ -32,7 +32,8 @@ def step(scored: DataFrame, dev: DataFrame, base: DataFrame, predictor: Predicto
     """scored (sg, row_id, y, v, score) after one round: s becomes (s + e) / 2 for the rows drawn."""
     drawn = roulette(scored, "sg", k, seed, round_)
     e = draw_scores(drawn, dev, base, predictor, alpha, floor, metric_pred, metric_fair)
-    moved = drawn.select("sg", "row_id").join(e, "sg")
+    # k rows of each of four cells, however many rows there are.
+    moved = F.broadcast(drawn.select("sg", "row_id").join(e, "sg"))
     return scored.join(moved, ["sg", "row_id"], "left").withColumn("score", F.when(F.col("e").isNotNull(), (F.col("score") + F.col("e")) / 2).otherwise(F.col("score"))).drop("e")
 
 

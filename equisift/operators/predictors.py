@@ -5,6 +5,7 @@ Rule and SimilarityVote are deterministic stand-ins for a language model; they d
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -91,6 +92,17 @@ class RemoteModel:
         return said.select("set_id", "row_id", parse_response(F.coalesce("answer", F.lit(""))).alias("yhat"))
 
 
+def clients_from_keys(make: Callable[[str], Callable[[str], str]], keys: list[str] | None = None, names: tuple[str, ...] = ("LLM_API_KEY",)) -> list[Callable[[str], str]]:
+    """A client for each distinct key, in order, for RemoteModel's make_clients. Without `keys` they are read from the environment variables that begin with one of `names`
+    (NAME, NAME1, NAME_2), in order of their names; white space and quotes around a key go. An error if there is none."""
+    if keys is None:
+        keys = [v for n, v in sorted(os.environ.items()) if n.startswith(names)]
+    bare = [k.strip().strip('"').strip("'") for k in keys if k]
+    if not (found := list(dict.fromkeys(k for k in bare if k))):
+        raise ValueError("no key for a client")
+    return [make(k) for k in found]
+
+
 class RemoteEmbedder:
     """Adds `v` by a remote embedding function over batches of texts; a batch that fails gets zero vectors of `dim` dimensions."""
 

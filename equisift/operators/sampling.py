@@ -70,7 +70,7 @@ def batch_ids(df: DataFrame, order: str, size: int) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """Distinct keys without blanks and quotes around them, each with the least pos it came at; empty ones go."""
-    bare = F.regexp_replace(F.trim(F.col(key)), "^\"+|\"+$", "")
+    """Distinct keys without white space (of any kind) and quotes around them, each with the least pos it came at; empty ones go."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(key), r"(?U)^\s+|\s+$", ""), "^\"+|\"+$", "")
     bare = F.regexp_replace(bare, "^'+|'+$", "")
     return df.select(bare.alias("key"), F.col(pos).alias("pos"), F.col(key).alias("_raw")).filter("_raw is not null and _raw <> ''").groupBy("key").agg(F.min("pos").alias("pos"))

@@ -5,14 +5,16 @@ Roles: embeddings give rows (y: label of 5 or more, z: label odd); customers sta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import prompts
-from ..functions.lineage import settle
+from ..functions.lineage import settle, shared_dir
 from ..functions.rng import uniform_sql
 from ..operators import adaptive, clustering, encoding, estimate, evolution, metrics, neighbors, reports, sampling
 from ..operators.predictors import Rule, SimilarityVote
-from ..sources.tables import table
+from ..sources.tables import read_csv, table
 
 SEED, K, BATCH, RATIO = 42, 5, 10, 0.2
 QUERIES: dict = {}
@@ -387,7 +389,16 @@ def q24_best(spark, sf_dir):
 CONFIG_SQL = "SELECT n_name AS name, n_regionkey + 1 AS k_shots, 10 * (n_nationkey + 1) AS max_dev_samples, 25 * (n_nationkey + 1) AS max_test_samples, 2 + n_regionkey AS iterations, 8 + n_nationkey AS batch_size, 5 AS k_neighbors, 3 AS l_iterations, n_regionkey <> 2 AS with_search FROM nation"
 
 
-@query("q25_estimate", estimate.SQL.replace("{configs}", f"({CONFIG_SQL})"))
+@query(
+    "q25_estimate",
+    f"""WITH c AS ({CONFIG_SQL}), f AS (SELECT *, 155 AS zero, 170 + 280 * k_shots AS few, 170 + 70 * k_neighbors AS near, max_dev_samples AS dev, max_test_samples AS test,
+  with_search::INT * ((max_test_samples + batch_size - 1) // batch_size) * batch_size ** 2 * l_iterations AS searched FROM c),
+t AS (SELECT *, dev * zero + dev * iterations * few + test * zero + test * few AS one, dev * zero + dev * iterations * few + test * zero + test * few + searched * near AS total FROM f)
+SELECT name, dev::BIGINT AS baseline_calls, (dev * zero)::BIGINT AS baseline_tokens, (dev * iterations)::BIGINT AS evolution_calls, (dev * iterations * few)::BIGINT AS evolution_tokens, (2 * test)::BIGINT AS test_calls,
+  (test * (zero + few))::BIGINT AS test_tokens, searched::BIGINT AS search_calls, (searched * near)::BIGINT AS search_tokens, (dev + dev * iterations + 2 * test)::BIGINT AS phase_one_calls, one::BIGINT AS phase_one_tokens,
+  (dev + dev * iterations + 2 * test + searched)::BIGINT AS grand_total_calls, total::BIGINT AS grand_total_tokens, round((floor(total * 0.95::DOUBLE) * 0.1::DOUBLE + floor(total * 0.05::DOUBLE) * 0.2::DOUBLE) / 1e6, 6) AS estimated_cost_usd,
+  zero::BIGINT AS tokens_per_zero_shot, few::BIGINT AS tokens_per_few_shot, (4 * k_shots)::BIGINT AS total_demonstrations FROM t""",
+)
 def q25(spark, sf_dir):
     return estimate.estimate(spark.sql(CONFIG_SQL.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation")))
 
@@ -419,6 +430,15 @@ def q28(spark, sf_dir):
     return metrics.rounded(reports.score_stats(rows(spark, sf_dir)), ("mean", "std"))
 
 
+@query(
+    "q28_score_extremes",
+    f"""WITH {E_SQL}, r AS (SELECT sg, score, row_number() OVER (PARTITION BY sg ORDER BY score DESC) AS hi, row_number() OVER (PARTITION BY sg ORDER BY score) AS lo FROM e)
+SELECT sg, 'top' AS kind, hi::INT AS rank, score FROM r WHERE hi <= 3 UNION ALL SELECT sg, 'bottom', lo::INT, score FROM r WHERE lo <= 3""",
+)
+def q28_extremes(spark, sf_dir):
+    return reports.score_extremes(rows(spark, sf_dir))
+
+
 @query(
     "q28_demo_stats",
     f"WITH {PERSON_SQL} SELECT count(*) AS n, count(*) FILTER (sex = 0) AS sex_0, count(*) FILTER (sex = 1) AS sex_1, count(*) FILTER (income = 0) AS income_0, count(*) FILTER (income = 1) AS income_1, round(avg(age), 6) AS mean, round(stddev_samp(age), 6) AS std, min(age) AS min, max(age) AS max FROM person",
@@ -461,3 +481,27 @@ def q32(spark, sf_dir):
     )
     long = metrics.long_form(metrics.evaluate(pred, ["run", "method"]), ["run", "method"])
     return metrics.rounded(reports.across_runs(long, "f1_score", ["few_shot", "zero_shot"]), ("few_shot", "zero_shot"))
+
+
+# ---- features
+
+
+@query(
+    "q33_features",
+    f"WITH {PERSON_SQL} SELECT row_id, income, [age::DOUBLE, sex::DOUBLE, capital_gain::DOUBLE, capital_loss::DOUBLE, hours_per_week::DOUBLE] AS features FROM person",
+)
+def q33(spark, sf_dir):
+    p = persons(spark, sf_dir).select("row_id", "age", "sex", "capital_gain", "capital_loss", "hours_per_week", "income")
+    return encoding.features(p, ("row_id", "income")).select("row_id", "income", "features")
+
+
+@query(
+    "q34_csv_rows",
+    f"WITH {PERSON_SQL} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, age, workclass, occupation, sex, income FROM person",
+)
+def q34(spark, sf_dir):
+    """Rows written as a headerless CSV with blanks after commas, and read back: row_id is a row's place."""
+    p = persons(spark, sf_dir).select(F.col("row_id").alias("at"), F.concat_ws(", ", "age", "workclass", "occupation", "sex", "income").alias("line"))
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    p.orderBy("at").select("line").write.text(path)
+    return read_csv(spark, path, "age long, workclass string, occupation string, sex long, income int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..config import SelectionConfig
@@ -18,9 +18,15 @@ CENSUS_TEXT = ("workclass", "education", "marital_status", "occupation", "relati
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = CENSUS) -> DataFrame:
-    """A headerless CSV with blanks after its commas, by an explicit schema; a row_id follows the rows' places in the files."""
+    """A headerless CSV with blanks after its commas, by an explicit schema; row_id counts the rows from 0 by file name and place in the file, however Spark splits the files."""
     rows = spark.read.csv(path, schema=schema, header=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return rows.withColumn("row_id", F.monotonically_increasing_id())
+    names = rows.columns
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    # One row for each split; the window over these counts them, not the rows.
+    splits = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, 0)
+    splits = splits.select("_file", "_start", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    return rows.join(splits, ["_file", "_start"]).select(*names, (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_id"))
 
 
 def census(spark: SparkSession, train: str, test: str) -> DataFrame:
@@ -34,9 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cached(spark: SparkSession, folder: str, name: str, config: SelectionConfig, make) -> DataFrame:
-    """A table kept between runs under a key of its parameters: other parameters never meet an old file."""
-    path = f"{folder}/{name}-{config.key()}"
+def content_key(df: DataFrame) -> str:
+    """A key of a table's rows, in whatever order and partitions: their number, and two sums of 64-bit hashes without carry, of single rows and of rows with their counts."""
+    n, a, b = df.select(F.xxhash64(F.lit(1), "*").alias("a"), F.xxhash64(F.lit(2), "*").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).agg(
+        F.sum("n"), F.bit_xor(F.xxhash64("a", "n")), F.bit_xor(F.xxhash64("b", "n"))
+    ).first()
+    return f"{n or 0}-{(a or 0) % (1 << 64):016x}{(b or 0) % (1 << 64):016x}"
+
+
+def cached(spark: SparkSession, folder: str, name: str, config: SelectionConfig, make, source: DataFrame | None = None) -> DataFrame:
+    """A table kept between runs under a key of its parameters and of the rows of `source`, what it is made from: other parameters or rows never meet an old file."""
+    path = f"{folder}/{name}-{config.key()}" + (f"-{content_key(source)}" if source is not None else "")
     try:
         return spark.read.parquet(path)
     except AnalysisException:

@@ -348,7 +348,64 @@ def test_estimate(spark):
         r = got[name]
         assert r["grand_total_calls"] == 10 + 30 + 42 + calls and r["search_calls"] == calls
         assert r["grand_total_tokens"] == 10 * 155 + 30 * few + 21 * (155 + few) + calls * (170 + 5 * 70)
-        assert r["cost_usd"] == pytest.approx(r["grand_total_tokens"] * 1.05e-7, abs=1e-6)
+        assert r["estimated_cost_usd"] == pytest.approx(r["grand_total_tokens"] * 1.05e-7, abs=1e-6)
+
+
+def test_estimate_of_the_usual_settings(spark):
+    """The published totals: 10,620 calls, 9,922,100 tokens, 1.0418 dollars."""
+    from equisift.operators.estimate import estimate
+
+    config = spark.createDataFrame([("usual", 10, 20, 200, 10, 10, 10, 5, True)], "name string, k_shots int, max_dev_samples int, max_test_samples int, iterations int, batch_size int, k_neighbors int, l_iterations int, with_search boolean")
+    r = estimate(config).first()
+    assert (r["grand_total_calls"], r["grand_total_tokens"], round(r["estimated_cost_usd"], 4)) == (10_620, 9_922_100, 1.0418)
+
+
+def test_csv_row_ids_do_not_depend_on_splits(spark, tmp_path):
+    for f in range(3):
+        (tmp_path / f"part{f}.csv").write_text("".join(f"{f}, {i}\n" for i in range(700 + 100 * f)))
+    want = [(f, i) for f in range(3) for i in range(700 + 100 * f)]
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {r["row_id"]: (r["f"], r["i"]) for r in tables.read_csv(spark, str(tmp_path), "f int, i int").collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == dict(enumerate(want))
+
+
+def test_cached_is_keyed_by_content(spark, tmp_path):
+    c, made = SelectionConfig(), []
+    one, other = spark.range(5), spark.range(5).withColumn("id", F.col("id") + (F.col("id") == 4).cast("int"))
+    for source in (one, other, one.repartition(3), one.union(one).union(one), one):
+        tables.cached(spark, str(tmp_path), "x", c, lambda source=source: made.append(1) or source, source)
+    assert len(made) == 3
+
+
+def test_keys_and_clients(spark, monkeypatch):
+    from equisift.operators.predictors import clients_from_keys
+
+    rows = spark.createDataFrame([(1, '\t"abc"\n'), (2, "abc"), (3, "\u00a0'x' "), (4, None), (5, "")], "pos int, k string")
+    assert sorted(map(tuple, sampling.first_of_each(rows, "k", "pos").collect())) == [("abc", 1), ("x", 3)]
+    for n, v in (("OWN_KEY", " 'a' "), ("OWN_KEY1", "b"), ("OWN_KEY_2", '"a"'), ("OWN_KEY_3", "")):
+        monkeypatch.setenv(n, v)
+    assert clients_from_keys(lambda k: k, names=("OWN_KEY",)) == ["a", "b"]
+    with pytest.raises(ValueError):
+        clients_from_keys(lambda k: k, keys=["", " "])
+
+
+def test_logger(tmp_path):
+    import logging
+
+    from equisift.functions.logs import get_logger, setup_logger
+
+    before = len(logging.getLogger().handlers)
+    for _ in range(2):
+        log = setup_logger("equisift.test", str(tmp_path / "logs/run.log"))
+    get_logger("equisift.test").info("said once")
+    assert len(log.handlers) == 2 and (tmp_path / "logs/run.log").read_text().count("said once") == 1 and len(logging.getLogger().handlers) == before
+    for h in list(log.handlers):
+        h.close()
+        log.removeHandler(h)
 
 
 def test_lloyd_restarts_and_converges(spark):
