@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import calibrate, id_crc32, labelled_sample, utf8
 
-BLOCK, LEVEL, DICT_BYTES = 1024, 3, 262_144
+#: Block and dictionary size were chosen by settings.py, on inner folds of the rows that may teach (sf0.1).
+BLOCK, LEVEL, DICT_BYTES = 512, 3, 524_288
 #: The bound on what is learned from: rows of each class, and bytes of text in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
 
@@ -26,11 +27,12 @@ class CompressionModel:
     bad: bytes
     slope: float
     intercept: float
+    block: int = BLOCK
 
     def scorer(self):
         """A function from a text's bytes to its feature."""
         pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (self.good, self.bad)]
-        return lambda text: _difference(pair, text)
+        return lambda text: _difference(pair, text, self.block)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
@@ -42,29 +44,29 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def _difference(pair: list, text: bytes) -> float:
+def _difference(pair: list, text: bytes, size: int) -> float:
     """Bytes that the good dictionary saves against the bad one, for each byte of text; 0 for an empty text."""
     if not text:
         return 0.0
     good, bad = pair
     n = 0
-    for i in range(0, len(text), BLOCK):
-        block = text[i : i + BLOCK]
+    for i in range(0, len(text), size):
+        block = text[i : i + size]
         n += len(bad.compress(block)) - len(good.compress(block))
     return n / len(text)
 
 
-def _build(texts: list[bytes]) -> bytes:
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def _build(texts: list[bytes], size: int, dict_bytes: int) -> bytes:
+    blocks = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(dict_bytes, blocks, k=256, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their bytes are the dictionary
-        return b"".join(blocks)[-DICT_BYTES:] or b" " * 8
+        return b"".join(blocks)[-dict_bytes:] or b" " * 8
 
 
-def fit(sample: list[tuple[str, int]], share: float | None = None) -> CompressionModel:
+def fit(sample: list[tuple[str, int]], share: float | None = None, block: int = BLOCK, dict_bytes: int = DICT_BYTES) -> CompressionModel:
     """sample: (text, 1 for good or 0 for bad). Every other text of a class builds its dictionary, the rest calibrate.
-    share: of good texts among all labelled ones; the sample's own share if not given.
+    share: of good texts among all labelled ones; the sample's own share if not given. block, dict_bytes: chosen by settings.py.
 
     With fewer than 8 texts of a class nothing can be learned: the score is then the share of good texts.
     """
@@ -73,11 +75,11 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> Compressio
         share = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
     if min(map(len, by.values())) < 8:
         return CompressionModel(b" " * 8, b" " * 8, 0.0, float(np.log(share / (1 - share))))
-    model = CompressionModel(_build(by[1][::2]), _build(by[0][::2]), 0.0, 0.0)
+    model = CompressionModel(*(_build(by[y][::2], block, dict_bytes) for y in (1, 0)), 0.0, 0.0, block)
     of = model.scorer()
     x = np.array([of(t) for y in (0, 1) for t in by[y][1::2]])
     y = np.array([float(label) for label in (0, 1) for _ in by[label][1::2]])
-    return CompressionModel(model.good, model.bad, *calibrate(x, y, share))
+    return CompressionModel(model.good, model.bad, *calibrate(x, y, share), block)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, budget: int = SAMPLE_BYTES) -> CompressionModel:

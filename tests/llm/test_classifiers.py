@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equisift.llm import quality, toxicity
+from equisift.llm import quality, settings, toxicity
 from equisift.llm.common import calibrate, labelled_sample
 
 from .conftest import SCHEMA, Words, rows_of
@@ -103,7 +103,7 @@ def test_long_texts_are_scored_whole(labelled):
 
 
 def test_quality_scores_equal_two_compressors(labelled):
-    """The score by hand: each block of 1 KB compressed with either dictionary, sizes' difference over the text's bytes, logistic."""
+    """The score by hand: each block compressed with either dictionary, sizes' difference over the text's bytes, logistic."""
     import math
 
     import zstandard
@@ -113,7 +113,7 @@ def test_quality_scores_equal_two_compressors(labelled):
     good, bad = (zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     for i, s in rows_of(quality.score(docs, model), "doc_id", "score"):
-        blocks = [texts[i][k : k + 1024] for k in range(0, len(texts[i]), 1024)]
+        blocks = [texts[i][k : k + model.block] for k in range(0, len(texts[i]), model.block)]
         x = (sum(len(bad.compress(b)) for b in blocks) - sum(len(good.compress(b)) for b in blocks)) / len(texts[i])
         assert s == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.intercept))), abs=1e-9)
 
@@ -156,12 +156,34 @@ def test_weights_equal_plain_ftrl(labelled):
     """The batched learner against one that takes a coordinate at a time: the same features, and weights in one proportion, the calibration's slope."""
     docs, labels = labelled
     sample = labelled_sample(docs, labels, "toxic", F.lit(True), 100, 1 << 30, 10)
-    model, plain = toxicity.fit(sample, l1=2.0), plain_ftrl(sample, l1=2.0)
+    model, plain = toxicity.fit(sample, alpha=0.3, l1=2.0, least=4), plain_ftrl(sample, alpha=0.3, l1=2.0, least=4)
     assert model.places.tolist() == sorted(plain) and len(plain) > 5
     ratio = model.weights / np.array([plain[k] for k in model.places.tolist()])
     assert np.allclose(ratio, ratio[0], rtol=1e-6)
 
 
+@pytest.mark.parametrize("errors,label,grid", [(settings.quality_errors, 1, [{"block": 512, "dict_bytes": 65_536}, {"block": 1024, "dict_bytes": 65_536}]), (settings.toxicity_errors, 2, [{"l1": 500.0}, {"l1": 2.0}])])
+def test_settings_are_chosen_on_inner_folds(errors, label, grid):
+    """The choice has the least mean of the classes' error rates, counted by hand over the folds; each text is judged by a model that did not see it or its copies."""
+    docs, labels = corpus(seed=3)
+    sample = [(d[1], row[label]) for d, row in zip(docs, labels)]
+    best, totals = settings.choose(errors, sample + sample[:20], grid)
+    assert [t[0] for t in totals] == grid
+    seen = []
+    for s in grid:
+        e = np.zeros(2, int)
+        for f in range(settings.FOLDS):
+            train, test = ([v for v in sample + sample[:20] if (zlib.crc32(v[0].encode()) % settings.FOLDS == f) == held] for held in (False, True))
+            assert not {t for t, _ in train} & {t for t, _ in test}
+            e += errors(train, test, s)
+        seen.append(tuple(e))
+    assert [t[1:] for t in totals] == seen
+    n = np.bincount([y for _, y in sample + sample[:20]])
+    assert best == min(zip(grid, seen), key=lambda r: r[1][0] / n[0] + r[1][1] / n[1])[0]
+    if label == 2:
+        assert best == {"l1": 2.0}  # with so much L1 nothing is learned
+
+
 def test_weights_are_sparse(labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
