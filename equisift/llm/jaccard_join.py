@@ -248,17 +248,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(_levels(found))
     members = found.filter("n >= 0").select("id", "n", F.when(F.col("n") > 0, cls).alias("cls"))
 
-    # A token's least and greatest class and its hub are pre-aggregated; both sides of the join are tables, so that Spark can split a token that many classes have.
+    # A token's least and greatest class are pre-aggregated, then, of tokens with several classes, the hub; both sides of each join are tables, so that Spark can split a token that many classes have.
     own = cut(_prefixes(rows, levels, clashes, k, percent), "jaccard-prefixes")
-    tokens = own.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.max(F.struct("central", "cls")).alias("top")).filter("x <> y").select("token", F.col("top.cls").alias("hub"))
-    tokens = cut(tokens, "jaccard-tokens", large=True)
-    shared = cut(own.drop("central").join(tokens, "token").dropDuplicates(["token", "cls"]), "jaccard-shared", large=True)
+    tokens = cut(own.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token"), "jaccard-tokens", large=True)
+    shared = cut(own.join(tokens, "token", "left_semi").dropDuplicates(["token", "cls"]), "jaccard-shared", large=True)
     forget(own, tokens)
+    hubs = cut(shared.groupBy("token").agg(F.max(F.struct("central", "cls")).alias("top")).select("token", F.col("top.cls").alias("hub")), "jaccard-hubs", large=True)
 
     first = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"))
 
-    star = shared.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("20 * c >= n")
-    star = cut(star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "hub")).alias("best")).select("a", F.col("best.hub").alias("b")), "jaccard-star")
+    star = shared.join(hubs, "token").filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("20 * c >= n")
+    star = cut(star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "hub")).alias("best")).select("a", F.col("best.hub").alias("b")), "jaccard-star", large=True)
+    forget(hubs)
     links = _verify(star, rows, first, clashes, k, percent)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     groups = connected(nodes, links, "jaccard-groups")
