@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MASK = (1 << 64) - 1
 #: Of a labelled sample's bytes for a class, one text has at most one part of so many.
 LARGEST = 32
+#: Bytes of rows that a Python worker gets at once unless the session says otherwise; else 10,000 texts of any length are one batch.
+ARROW_BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +65,32 @@ def forget(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if found := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        found(0)
+
+
+def in_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of about ARROW_BATCH bytes: a session without spark.sql.execution.arrow.maxBytesPerBatch gets it.
+
+    Spark keeps a worker for later tasks, of other stages too, so a worker gives back what its task has freed.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if rows.sparkSession.conf.get(key, None) is None:
+        rows.sparkSession.conf.set(key, str(ARROW_BATCH))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return rows.mapInArrow(task, schema)
+
+
 def id_crc32(col: str | Column) -> Column:
     """CRC-32 of an id written as text; a null id counts as the empty text."""
     col = F.col(col) if isinstance(col, str) else col

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, forget, mix
+from .common import cut, forget, in_arrow, mix
 
 #: One edit for so many characters of an item.
 CHARS_PER_EDIT = 16
@@ -115,7 +115,7 @@ def _items(bench: DataFrame, id_col: str, text_col: str, chars_per_edit: int) ->
             keep = pa.array([bool(t) for t in norm], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("item").filter(keep), pa.array([t for t in norm if t], pa.string())], ["item", "norm"])
 
-    items = cut(rows.mapInArrow(clean, f"item {kind}, norm string").withColumn("ik", F.monotonically_increasing_id()), "leak-items")
+    items = cut(rows.transform(in_arrow, clean, f"item {kind}, norm string").withColumn("ik", F.monotonically_increasing_id()), "leak-items")
 
     def split(batches):
         for batch in batches:
@@ -126,7 +126,7 @@ def _items(bench: DataFrame, id_col: str, text_col: str, chars_per_edit: int) ->
                     out.append((int(hashes.of(hashes.sums(piece), len(piece)).view(np.int64)[0]), ik, at, len(piece)))
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("key", "ik", "at", "size"), zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
 
-    return items, cut(items.select("ik", "norm").mapInArrow(split, "key bigint, ik bigint, at int, size int"), "leak-pieces")
+    return items, cut(items.select("ik", "norm").transform(in_arrow, split, "key bigint, ik bigint, at int, size int"), "leak-pieces")
 
 
 def _filter(found: DataFrame, n: int) -> tuple[int, np.ndarray]:
@@ -149,9 +149,9 @@ def _filter(found: DataFrame, n: int) -> tuple[int, np.ndarray]:
         for part, x in parts.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "raw": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
-    slots = found.select("key").mapInArrow(spread, "slot bigint").distinct()
+    slots = found.select("key").transform(in_arrow, spread, "slot bigint").distinct()
     out = np.zeros((FILTER_PARTS, width // FILTER_PARTS), np.uint8)
-    for r in slots.repartition(FILTER_PARTS, F.shiftright(F.col("slot"), bits - FILTER_PARTS.bit_length() + 1)).mapInArrow(fill, "part int, raw binary").collect():
+    for r in slots.repartition(FILTER_PARTS, F.shiftright(F.col("slot"), bits - FILTER_PARTS.bit_length() + 1)).transform(in_arrow, fill, "part int, raw binary").collect():
         out[r["part"]] |= np.frombuffer(zlib.decompress(r["raw"]), np.uint8)
     return bits, out.ravel()
 
@@ -215,7 +215,7 @@ def _hits(rows: DataFrame, sizes: list[int], bloom) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(both, fields=list(one)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t1"), batch.column("t2"), lists], ["id", "t1", "t2", "hits"])
 
-    return rest.mapInArrow(run, f"id {kind}, t1 bigint, t2 bigint, hits array<struct<key:bigint,pos:int>>")
+    return rest.transform(in_arrow, run, f"id {kind}, t1 bigint, t2 bigint, hits array<struct<key:bigint,pos:int>>")
 
 
 def spans(text: str, norm: str, starts: list[int], edits: int) -> list[tuple[int, int, int]]:
@@ -277,7 +277,7 @@ def _matches(docs: DataFrame, bench: DataFrame, text_col: str, id_col: str | Non
             yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in t1], pa.int64()), pa.array([x.as_py() for x in t2], pa.int64()), pa.array(out, pa.list_(fields))], ["t1", "t2", "spans"])
 
     schema = f"t1 bigint, t2 bigint, spans array<struct<item:{kind},start:int,end:int,distance:int>>"
-    right = texts.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "items").mapInArrow(verify, schema)
+    right = texts.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "items").transform(in_arrow, verify, schema)
     right = cut(right.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "leak-found")
     forget(items, found, asked)
     return hits.select("id", "t1", "t2"), right

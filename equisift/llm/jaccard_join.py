@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, connected, cut, forget, shingles, utf8
+from .common import WordHashes, connected, cut, forget, in_arrow, shingles, utf8
 
 #: The sketch: counts of 2**SKETCH_BITS buckets of tokens (64 MB for each running task), in SKETCH_PARTS parts.
 SKETCH_BITS, SKETCH_PARTS = 24, 64
@@ -82,7 +82,7 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
                 ["id", "n", "lo", "hi", "part", "counts"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, lo bigint, hi bigint, part int, counts binary")
+    return rows.transform(in_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, lo bigint, hi bigint, part int, counts binary")
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -100,7 +100,7 @@ def _levels(found: DataFrame) -> np.ndarray:
             levels = np.where(x >= base, np.floor(np.log2(np.maximum(x, 1) / base)) + 1, 0).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())})
 
-    rows = found.filter("n = -1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, levels binary").collect()
+    rows = found.filter("n = -1").select("part", "counts").repartition(SKETCH_PARTS, "part").transform(in_arrow, run, "part int, levels binary").collect()
     levels = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for r in rows:
         levels[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
@@ -134,7 +134,7 @@ def _prefixes(rows: DataFrame, levels, clashes: frozenset, k: int, percent: int)
                 sizes = [len(x) for x in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(cls, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(np.repeat(np.array(central, np.int32), sizes))], ["token", "cls", "n", "central"])
 
-    return rows.select("text").mapInArrow(run, "token bigint, cls bigint, n int, central int")
+    return rows.select("text").transform(in_arrow, run, "token bigint, cls bigint, n int, central int")
 
 
 def _needed(a: str, b: str, percent: int) -> str:
@@ -186,7 +186,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, first: DataFrame, clashes: frozen
                         b.append(to)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    out = cut(met.select("cls", "b", "block", "kind", "text").mapInArrow(run, "a bigint, b bigint"), "jaccard-links", large=True)
+    out = cut(met.select("cls", "b", "block", "kind", "text").transform(in_arrow, run, "a bigint, b bigint"), "jaccard-links", large=True)
     forget(asked, texts)
     return out
 

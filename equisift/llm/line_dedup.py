@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, forget, utf8
+from .common import cut, forget, in_arrow, utf8
 
 #: A repeated run counts from so many lines on; a line of so many words is a run by itself.
 RUN_LINES, LONG_WORDS = 3, 8
@@ -56,7 +56,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ["fp", "id", "th", "pos", "long", "at", "near", "numbers"],
                 )
 
-    fps = cut(rows.mapInArrow(run, f"fp bigint, id {kind}, th bigint, pos int, long boolean, at int, near array<bigint>, numbers array<int>"), "line-fingerprints", large=True)
+    fps = cut(rows.transform(in_arrow, run, f"fp bigint, id {kind}, th bigint, pos int, long boolean, at int, near array<bigint>, numbers array<int>"), "line-fingerprints", large=True)
     # Nulls come last in the order of ids.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos").alias("place")
     shared = fps.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("fp")
@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets.append(sorted(drop))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "text", "n_lines", "removed"])
 
-    return both.mapInArrow(run, f"id {kind}, text string, n_lines bigint, removed array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
+    return both.transform(in_arrow, run, f"id {kind}, text string, n_lines bigint, removed array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

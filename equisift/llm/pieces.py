@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix
+from .common import in_arrow, mix
 
 #: Where the public vocabulary files are; a parameter of every operator here.
 MODEL = os.environ.get("EQUISIFT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -438,7 +438,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], _lists(pieces.encode_texts(texts, memory))], [*rest, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -454,7 +454,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
             texts = [pieces.decode_ids(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))], [*rest, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def tokens_of(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -476,7 +476,7 @@ def tokens_of(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> Da
                 same = [pieces.decode_ids(x.tolist()) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], _lists(ids), pa.array(same, pa.bool_())], [*rest, "ids", "round_trip"])
 
-    coded = rows.mapInArrow(run, schema)
+    coded = rows.transform(in_arrow, run, schema)
     return coded.select(*[F.col(f"`{c}`") for c in rest], "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 

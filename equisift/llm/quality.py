@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import calibrate, id_crc32, labelled_sample, utf8
+from .common import calibrate, id_crc32, in_arrow, labelled_sample, utf8
 
 #: Block and dictionary size were chosen by settings.py, on inner folds of the rows that may teach (sf0.1).
 BLOCK, LEVEL, DICT_BYTES = 512, 3, 524_288
@@ -106,7 +106,7 @@ def with_score(docs: DataFrame, model: CompressionModel, text_col: str = "text",
             x = np.array([of(t or b"") for t in utf8(batch.column(text_col))], float)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(model.probability(x))], [*rest, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

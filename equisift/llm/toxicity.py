@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, calibrate, gram_hashes, id_crc32, labelled_sample, mix, utf8
+from .common import WordHashes, calibrate, gram_hashes, id_crc32, in_arrow, labelled_sample, mix, utf8
 
 BITS = 20
 #: The bound on what is learned from: rows of each class, and bytes of text in all.
@@ -109,7 +109,7 @@ def score(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], ["id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.transform(in_arrow, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, delete, forget, shared_path, utf8
+from .common import cut, delete, forget, in_arrow, shared_path, utf8
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "bytes": [size], "records": [n]})
 
-    return cut(rows.mapInArrow(run, "file string, bytes bigint, records bigint"), "warc-manifest", large=True)
+    return cut(rows.transform(in_arrow, run, "file string, bytes bigint, records bigint"), "warc-manifest", large=True)
 
 
 def _member(file, at: int, size: int, first: bytes) -> tuple[bytes, int] | None:
@@ -195,7 +195,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return splits.mapInArrow(run, "file string, offset bigint, record_id string, record_type string, refers_to string, url string, payload_digest string, payload binary")
+    return splits.transform(in_arrow, run, "file string, offset bigint, record_id string, record_type string, refers_to string, url string, payload_digest string, payload binary")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
