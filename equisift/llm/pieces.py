@@ -85,13 +85,6 @@ class Pieces:
         self.power = np.array([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         #: Pairs of pieces that have been tried: twice the pair, and 1 if allowed; a slot holds the last pair that fell there.
         self.tried = np.full(1 << _PAIR_BITS, -1, np.int64)
-        self.score = np.array(scores, float)
-        self.unknown = min((scores[i] for i in self.ids.values()), default=0.0) - 10
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        #: Which pairs of pieces have been tried, and the answers: a slot holds the last pair that fell there.
-        self.tried = np.full(1 << _PAIR_BITS, -1, np.int64)
-        self.answer = np.zeros(1 << _PAIR_BITS, bool)
         self.table = [bytes([int(p[3:5], 16)]) if kinds[i] == "B" else p.replace(MARK, " ").encode() if kinds[i] == "N" else b"" for i, p in enumerate(pieces)]
         self.whole = np.ones(self.n + 1, bool)
         self.rank = np.full(self.n, -1, np.int64)
