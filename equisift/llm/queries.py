@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, line_dedup, pieces, quality, sharding, toxicity, url_filter, warc
+from . import change_points, decontamination, exact_dedup, infilling, jaccard_join, line_dedup, pieces, quality, sharding, top_products, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_proportional_sharding": sharding.op8_proportional_sharding,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_fill_in_middle": infilling.op11_fill_in_middle,
+    "op12_top_products": top_products.op12_top_products,
+    "op13_change_points": change_points.op13_change_points,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_proportional_sharding": sharding.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_fill_in_middle": infilling.ORACLE,
+    "op12_top_products": top_products.ORACLE,
+    "op13_change_points": change_points.ORACLE,
 }
