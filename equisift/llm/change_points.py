@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Numbers in a tile of a kernel, over all series solved together; series of a stack.
 TILE, STACK = 1 << 17, 256
-#: A key that nothing reaches. Beyond SAFE, numbers are Python's integers.
-NONE, SAFE = 1 << 62, 1 << 61
+#: A key that nothing reaches. Beyond SAFE, numbers are Python's integers. The greatest long.
+NONE, SAFE, LONG = 1 << 62, 1 << 61, (1 << 63) - 1
 
 
 def spread(n, s, q):
@@ -91,7 +91,7 @@ class Stack:
         for a, b in zip(ends, ends[1:]):
             s, q = int(self.sums[row, b]) - int(self.sums[row, a]), int(self.squares[row, b]) - int(self.squares[row, a])
             v = spread(b - a, s, q)
-            out.append((a, b - a, s, v, int(cost(b - a, v))))
+            out.append((a, b - a, max(-LONG - 1, min(LONG, s)), min(LONG, v), int(cost(b - a, v))))
         return out, len(out), sum(x[4] for x in out) + self.penalty * (len(out) - 1)
 
 
@@ -102,7 +102,7 @@ def change_points(rows: DataFrame, series: str, day: str | Column, value: str, l
     """One row per segment: the series, segment_no from 1, first_day (days since 1970), n_days, total, spread, cost, n_segments and best_cost (of the whole series, with penalties).
 
     day is a date or a timestamp, value a whole number; rows where one is null take no part, repeated rows count each, a null series is a series. A series goes from its first to its last day; days without rows
-    count 0. One of fewer than 2 * least days is one segment. Cost of n values is n floor(1000 ln V), V = 1 + floor(variance), exact up to the logarithm (a segment's sum and spread must fit longs).
+    count 0. One of fewer than 2 * least days is one segment. Cost of n values is n floor(1000 ln V), V = 1 + floor(variance), exact up to the logarithm, whatever the size of numbers; a total or spread beyond a long is given as its limit (a day's sum must fit one).
     Of equal cuts: the fewest segments, then the earliest starts, compared from the last segment backwards. An empty table gives no rows; other columns are ignored.
     """
     if least < 1 or penalty < 0:
