@@ -27,6 +27,7 @@ class SelectionConfig:
     batch_size: int = 10
     lloyd_rounds: int = 300
     lloyd_starts: int = 10
+    seeding: str = "parallel"
     seed: int = 42
 
     def __post_init__(self):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.lineage import settle
 from ..functions.rng import uniform
 from ..functions.vectors import distance
+from . import kmeans
 
 DIGITS = 9
 
@@ -25,37 +25,16 @@ def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     return rows.join(table, "sg").withColumn("_near", near).withColumns({"cluster": F.col("_near.cluster"), "dist": F.col("_near.dist")}).drop("_cs", "_near")
 
 
-def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Means of the clusters; an empty cluster keeps its centroid. Means are partial sums by dimension, so a large cell is no burden."""
-    means = assigned.select("sg", "cluster", F.posexplode("v").alias("pos", "x")).groupBy("sg", "cluster", "pos").agg(F.round(F.avg("x"), DIGITS).alias("x"))
-    means = means.groupBy("sg", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return centroids.join(means, ["sg", "cluster"], "left").select("sg", "cluster", F.coalesce("mean", "c").alias("c"))
-
-
-def lloyd(rows: DataFrame, k: int, rounds: int, seed: int, starts: int = 1) -> DataFrame:
-    """Centroids once none moves, or after so many rounds; all cells and starts in the same jobs. Of several starts each cell keeps the one with the least sum of squared distances (ties: the
-    first). The centroids (at most k for a cell and start) are settled each round; rows are not."""
-    if starts > 1:
-        cells = None
-        for s in range(starts):
-            own = first_centroids(rows, k, seed, s).withColumn("sg", F.struct("sg", F.lit(s).alias("start")))
-            cells = own if cells is None else cells.unionByName(own)
-        each = rows.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("sg", F.struct("sg", F.col("_start").alias("start"))).drop("_start")
-    else:
-        each, cells = rows, first_centroids(rows, k, seed)
-    centroids = settle(cells)
-    for _ in range(rounds):
-        new = settle(update(assign(each, centroids), centroids))
-        moved = new.join(centroids.withColumnRenamed("c", "_old"), ["sg", "cluster"]).filter("c <> _old").limit(1).count()
-        centroids = new
-        if not moved:
-            break
-    if starts == 1:
-        return centroids
-    cost = assign(each, centroids).groupBy("sg").agg(F.round(F.sum(F.col("dist") * F.col("dist")), DIGITS - 3).alias("cost"))
-    best = cost.groupBy(F.col("sg.sg").alias("cell")).agg(F.min(F.struct("cost", "sg.start"))["start"].alias("start"))
-    best = best.select(F.struct(F.col("cell").alias("sg"), "start").alias("sg"))
-    return settle(centroids.join(best, "sg").select(F.col("sg.sg").alias("sg"), "cluster", "c"))
+def lloyd(rows: DataFrame, k: int, rounds: int, seed: int, starts: int = 1, seeding: str = "uniform") -> DataFrame:
+    """(sg, cluster, c): centroids once none moves, or after so many rounds; of several starts each cell keeps the one with the least sum of squared distances (ties: the first). seeding: uniform, or parallel for
+    k-means||."""
+    if seeding not in ("uniform", "parallel"):
+        raise ValueError("seeding is uniform or parallel")
+    seeds = kmeans.uniform_seeds(rows, k, seed, starts) if seeding == "uniform" else kmeans.parallel_seeds(rows, k, seed, starts)
+    centres, cost = kmeans.run(rows, seeds, rounds)
+    best = kmeans.best_starts(cost)
+    found = [(name, i, c.tolist()) for name, s in best.items() for i, c in enumerate(centres[name][s])]
+    return rows.sparkSession.createDataFrame(found, "sg string, cluster int, c array<double>")
 
 
 def representatives(rows: DataFrame, centroids: DataFrame, n_clusters: int, m: int) -> DataFrame:
@@ -73,11 +52,3 @@ def representatives(rows: DataFrame, centroids: DataFrame, n_clusters: int, m: i
     both = first.unionByName(fill).withColumn("_first", F.max("own").over(Window.partitionBy("sg", "row_id"))).filter("own = _first").drop("own")
     order = Window.partitionBy("sg").orderBy(F.col("_first").desc(), "dist", "row_id")
     return both.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= target).drop("_r").withColumnRenamed("_first", "in_cluster")
-
-
-def kmeans_ml(rows: DataFrame, k: int, seed: int):
-    """MLlib's K-means for one cell, as an alternative to lloyd: rows need a `features` array."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    return KMeans(k=k, seed=seed, featuresCol="_vector").fit(rows.withColumn("_vector", array_to_vector("v")))

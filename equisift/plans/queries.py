@@ -505,3 +505,6 @@ def q34(spark, sf_dir):
     path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     p.orderBy("at").select("line").write.text(path)
     return read_csv(spark, path, "age long, workclass string, occupation string, sex long, income int")
+
+
+from . import search_queries  # noqa: E402, F401  registers its queries here

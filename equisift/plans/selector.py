@@ -29,7 +29,7 @@ class FairSelector:
 
     def fit(self) -> "FairSelector":
         c = self.config
-        centroids = clustering.lloyd(self.train, c.n_clusters, c.lloyd_rounds, c.seed, c.lloyd_starts)
+        centroids = clustering.lloyd(self.train, c.n_clusters, c.lloyd_rounds, c.seed, c.lloyd_starts, c.seeding)
         picked = clustering.representatives(self.train, centroids, c.n_clusters, c.m_neighbors)
         scored = settle(picked.select("sg", "row_id", "y", "z", "v", F.lit(c.floor).alias("score")))
         self.scored = evolution.evolve(scored, self.dev, self.predictor, c.iterations, c.k_shots, c.seed, c.alpha, c.floor, c.metric_pred, c.metric_fair, self.zero_shot)

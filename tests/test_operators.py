@@ -1,12 +1,14 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from equisift.config import SelectionConfig
 from equisift.functions import prompts
-from equisift.operators import adaptive, clustering, encoding, metrics, neighbors, reports, sampling
+from equisift.functions.rng import uniform_value
+from equisift.operators import adaptive, clustering, encoding, kmeans, metrics, neighbors, reports, sampling
 from equisift.operators.predictors import Constant, RemoteEmbedder, RemoteModel, Rule, SimilarityVote
 from equisift.plans.selector import FairSelector, run_selection
 from equisift.sources import tables
@@ -163,9 +165,66 @@ def test_number_of_representatives(spark, k, m):
 
 def test_empty_cluster_keeps_its_centroid(spark):
     df = spark.createDataFrame([("g", 1, [0.0]), ("g", 2, [1.0])], "sg string, row_id long, v array<double>")
-    start = spark.createDataFrame([("g", 0, [0.5]), ("g", 1, [99.0])], "sg string, cluster int, c array<double>")
-    got = {r["cluster"]: r["c"] for r in clustering.update(clustering.assign(df, start), start).collect()}
-    assert got == {0: [0.5], 1: [99.0]}
+    centres, cost = kmeans.run(df, {"g": {0: np.array([[0.5], [99.0]])}}, 5)
+    assert centres["g"][0].tolist() == [[0.5], [99.0]] and cost == {("g", 0): 0.5}
+
+
+def groups_of_points(seed, groups, each, dim=8, cells=2):
+    """Rows of each cell around far centres, some with many more rows than others."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for c in range(cells):
+        centres = rng.normal(size=(groups, dim)) * 20
+        for g in range(groups):
+            out += [(f"c{c}", v) for v in centres[g] + rng.normal(size=(each * (1 + g % 4), dim))]
+    return [(sg, i, [float(x) for x in v]) for i, (sg, v) in enumerate(out)]
+
+
+def test_parallel_seeding_costs_no_more(spark):
+    """The cost of the seeds themselves, and after Lloyd's rounds, on five seeds: never above that of uniform seeds."""
+    df = spark.createDataFrame(groups_of_points(1, 8, 20), "sg string, row_id long, v array<double>")
+    for seed in range(5):
+        for rounds in (0, 3):
+            a, b = (kmeans.run(df, make(df, 8, seed, 1), rounds)[1] for make in (kmeans.parallel_seeds, kmeans.uniform_seeds))
+            assert set(a) == set(b) and all(a[key] <= b[key] for key in b)
+
+
+def test_seeds_by_hand(spark):
+    """Draws and picks against loops over rows, with repeated rows and a cell of few distinct ones."""
+    data = groups_of_points(2, 3, 5, 2) + [("one", 900 + i, [1.0, 2.0]) for i in range(7)] + [("two", 950 + i, [float(i % 2), 0.0]) for i in range(9)]
+    df = spark.createDataFrame(data, "sg string, row_id long, v array<double>").repartition(5)
+    found = kmeans.candidates(df, 7, 2, 2, 4)
+    for sg in ("c0", "c1", "one", "two"):
+        own = [(i, np.array(v)) for s, i, v in data if s == sg]
+        far = lambda v, got: min(round(float(np.sqrt(((v - g) ** 2).sum())), 9) for _, g in got)
+        for s in range(2):
+            got = sorted(own, key=lambda r: uniform_value(7, "kmeans", s, r[0]))[:1]
+            for r in (1, 2):
+                raced = [(-np.log(uniform_value(7, "seeding", f"{s}.{r}", i)) / far(v, got) ** 2, i, v) for i, v in own if far(v, got) > 0]
+                got = got + [(i, v) for _, i, v in sorted(raced, key=lambda x: x[:2])[:4]]
+            assert [x[0] for x in found[sg, s]] == sorted(i for i, _ in got)
+            assert sum(x[2] for x in found[sg, s]) == len(own)
+    assert len(kmeans.picked(found["one", 0], 4, 7, 0)) == 1 and len(kmeans.picked(found["two", 1], 4, 7, 1)) == 2
+    seeds = kmeans.parallel_seeds(df, 4, 7, 2)
+    assert {sg: {s: len(c) for s, c in own.items()} for sg, own in seeds.items()} == {"c0": {0: 4, 1: 4}, "c1": {0: 4, 1: 4}, "one": {0: 1, 1: 1}, "two": {0: 2, 1: 2}}
+
+
+def test_starts_together_equal_starts_alone(spark):
+    df = spark.createDataFrame(groups_of_points(3, 4, 6, 3), "sg string, row_id long, v array<double>")
+    seeds = kmeans.uniform_seeds(df, 4, 5, 6)
+    centres, cost = kmeans.run(df, seeds, 50)
+    for s in range(6):
+        alone, own = kmeans.run(df.repartition(3), {sg: {s: c[s]} for sg, c in seeds.items()}, 50)
+        assert all(np.array_equal(alone[sg][s], centres[sg][s]) and own[sg, s] == cost[sg, s] for sg in seeds)
+        # Settled: every centroid is the mean of the rows nearest to it.
+        assert all(np.array_equal(kmeans.run(df, {sg: {s: centres[sg][s]}}, 1)[0][sg][s], centres[sg][s]) for sg in seeds)
+
+
+def test_no_rows_to_cluster(spark):
+    df = spark.createDataFrame([], "sg string, row_id long, v array<double>")
+    assert clustering.lloyd(df, 3, 5, 1, 4).collect() == [] == clustering.lloyd(df, 3, 5, 1, 4, "parallel").collect()
+    with pytest.raises(ValueError):
+        clustering.lloyd(df, 3, 5, 1, seeding="other")
 
 
 @pytest.mark.parametrize(
@@ -417,7 +476,11 @@ def test_lloyd_restarts_and_converges(spark):
     assert max(cost(clustering.lloyd(df, 3, 2, 1)).values()) > 100
     many = clustering.lloyd(df, 3, 300, 1, 10)
     assert max(cost(many).values()) < 10 and many.count() == 36
-    assert sorted(clustering.update(clustering.assign(df, many), many).collect()) == sorted(many.select("sg", "cluster", "c").collect())
+    own = {}
+    for r in sorted(many.collect(), key=lambda r: r["cluster"]):
+        own.setdefault(r["sg"], {0: []})[0].append(r["c"])
+    again, _ = kmeans.run(df, {sg: {0: np.array(c[0])} for sg, c in own.items()}, 1)
+    assert all(again[sg][0].tolist() == c[0] for sg, c in own.items())
 
 
 def test_score_extremes(spark):
