@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import kmeans
-from .queries import CLUSTERS, E_SQL, SEED, query, rows
+from pyspark.sql import functions as F
+
+from ..operators import kmeans, neighbors
+from ..sources.tables import table
+from .queries import CLUSTERS, E_SQL, K, SEED, query, rows
 
 # ---- clustering: seeds and starts
 
@@ -64,3 +67,21 @@ def q36(spark, sf_dir):
     _, cost = kmeans.run(e, kmeans.parallel_seeds(e, CLUSTERS, SEED, STARTS, SEED_ROUNDS, DRAW), 2)
     best = kmeans.best_starts(cost)
     return spark.createDataFrame([(name, s, c, best[name] == s) for (name, s), c in cost.items()], "sg string, start int, cost double, best boolean")
+
+
+# ---- neighbours
+
+
+@query(
+    "q37_pivot_neighbours",
+    f"""WITH p AS (SELECT p_partkey AS row_id, [p_size::DOUBLE - 25, p_retailprice::DOUBLE / 50 - 25, (p_partkey % 7)::DOUBLE - 3, (length(p_name) % 9)::DOUBLE - 4] AS v FROM part),
+s AS (SELECT q.row_id AS q_id, p.row_id AS p_id, round(list_cosine_similarity(q.v, p.v), 9) AS sim FROM p q JOIN p ON p.row_id <> q.row_id WHERE q.row_id % 20 = 0),
+nn AS (SELECT q_id, (row_number() OVER w)::INT AS rank, p_id, sim FROM s WINDOW w AS (PARTITION BY q_id ORDER BY sim DESC, p_id) QUALIFY row_number() OVER w <= {K})
+SELECT q_id, rank, p_id, round(sim, 6) AS sim FROM nn""",
+)
+def q37(spark, sf_dir):
+    """Parts like every twentieth part, in blocks of 256 rows, so that most pivots are left out before rows move."""
+    k = F.col("p_partkey")
+    v = F.array(F.col("p_size").cast("double") - 25, F.col("p_retailprice").cast("double") / 50 - 25, (k % 7).cast("double") - 3, (F.length("p_name") % 9).cast("double") - 4)
+    p = table(spark, sf_dir, "part").select(k.alias("row_id"), v.alias("v"))
+    return neighbors.nearest(p.filter("row_id % 20 = 0"), p, K, exclude_self=True, pool_block=256).withColumn("sim", F.round("sim", 6))

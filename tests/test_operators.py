@@ -142,6 +142,31 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert [got[i, r] for r in range(1, 5)] == [j for _, j in sims[:4]]
 
 
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_pivots_prune_and_stay_exact(spark, exclude_self):
+    """Groups of vectors, zero vectors, many equal ones; results of all pairs from a few of them."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 10
+    v = np.concatenate([c + rng.normal(size=(40, 6)) for c in centres] + [np.zeros((9, 6)), np.tile(centres[0], (90, 1))])
+    rows = [(int(i), [float(x) for x in r]) for i, r in zip(rng.permutation(len(v)), v)]
+    df = vectors(spark, rows).repartition(4)
+    report = {}
+    found = neighbors.nearest(df.filter("row_id % 3 = 0"), df, 7, exclude_self, pool_block=16, query_block=20, report=report)
+    got = {(r["q_id"], r["rank"]): (r["p_id"], r["sim"]) for r in found.collect()}
+    units = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    ids, queries = np.array([r[0] for r in rows]), [n for n, r in enumerate(rows) if r[0] % 3 == 0]
+    assert len(got) == 7 * len(queries) and report["of"] == len(rows) * len(queries) and report["pairs"] < report["of"] / 2
+    for n in queries:
+        sims = sorted((-round(float(s), 9) + 0.0, j) for s, j in zip(units @ units[n], ids) if j != ids[n] or not exclude_self)
+        assert [got[int(ids[n]), r] for r in range(1, 8)] == [(j, -s + 0.0) for s, j in sims[:7]]
+
+
+def test_pivots_of_zero_vectors_only(spark):
+    df = vectors(spark, [(i, [0.0, 0.0]) for i in range(20)])
+    got = sorted((r["q_id"], r["rank"], r["p_id"], r["sim"]) for r in neighbors.nearest(df.filter("row_id < 2"), df, 2, True, pool_block=4).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (1, 1, 0, 0.0), (1, 2, 2, 0.0)]
+
+
 def test_validation_keeps_copies_and_candidates_leave_it_out(spark):
     sets = spark.createDataFrame([(0, 1, 1, 7), (0, 2, 1, 7), (0, 1, 2, 8), (0, 2, 2, 9)], "batch_id long, q_id long, rank int, p_id long")
     assert [r["p_id"] for r in neighbors.validation(sets).collect()] == [7, 7]
