@@ -104,13 +104,13 @@ def clients_from_keys(make: Callable[[str], Callable[[str], str]], keys: list[st
 
 
 class RemoteEmbedder:
-    """Adds `v` by a remote embedding function over batches of texts; a batch that fails gets zero vectors of `dim` dimensions."""
+    """Adds `v` by a remote embedding function over batches of texts; a batch that fails gets zero vectors of `dim` dimensions, or nulls with zeros=False (for a store, which keeps no failures)."""
 
-    def __init__(self, make_embed: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int = 768, batch: int = 100):
-        self.make_embed, self.dim, self.batch = make_embed, dim, batch
+    def __init__(self, make_embed: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int = 768, batch: int = 100, zeros: bool = True):
+        self.make_embed, self.dim, self.batch, self.zeros = make_embed, dim, batch, zeros
 
     def embed(self, df: DataFrame, text: str = "text") -> DataFrame:
-        make, dim, size = self.make_embed, self.dim, self.batch
+        make, size, failed = self.make_embed, self.batch, [0.0] * self.dim if self.zeros else None
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             call = make()
@@ -121,7 +121,7 @@ class RemoteEmbedder:
                     try:
                         out += [[float(x) for x in v] for v in call(part)]
                     except Exception:  # noqa: BLE001
-                        out += [[0.0] * dim for _ in part]
+                        out += [failed for _ in part]
                 yield frame.assign(v=out)
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "v")

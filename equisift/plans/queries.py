@@ -469,17 +469,20 @@ def q31(spark, sf_dir):
 RUNS_SQL = "(SELECT l_returnflag || l_linestatus AS run, CASE WHEN l_linenumber % 2 = 0 THEN 'few_shot' ELSE 'zero_shot' END AS method, (l_discount > 0.05)::INT AS y, (l_quantity > 25)::INT AS yhat, (l_tax > 0.04)::INT AS z FROM lineitem)"
 
 
+def runs(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.select(
+        F.concat("l_returnflag", "l_linestatus").alias("run"), F.when(F.col("l_linenumber") % 2 == 0, "few_shot").otherwise("zero_shot").alias("method"),
+        (F.col("l_discount") > 0.05).cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("yhat"), (F.col("l_tax") > 0.04).cast("int").alias("z"),
+    )
+
+
 @query(
     "q32_across_runs",
     f"WITH m AS (SELECT * FROM {metric_sql(RUNS_SQL, 'run, method, ')}) SELECT run, round(max(f1_score) FILTER (method = 'few_shot'), 6) AS few_shot, round(max(f1_score) FILTER (method = 'zero_shot'), 6) AS zero_shot FROM m GROUP BY run",
 )
 def q32(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    pred = l.select(
-        F.concat("l_returnflag", "l_linestatus").alias("run"), F.when(F.col("l_linenumber") % 2 == 0, "few_shot").otherwise("zero_shot").alias("method"),
-        (F.col("l_discount") > 0.05).cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("yhat"), (F.col("l_tax") > 0.04).cast("int").alias("z"),
-    )
-    long = metrics.long_form(metrics.evaluate(pred, ["run", "method"]), ["run", "method"])
+    long = metrics.long_form(metrics.evaluate(runs(spark, sf_dir), ["run", "method"]), ["run", "method"])
     return metrics.rounded(reports.across_runs(long, "f1_score", ["few_shot", "zero_shot"]), ("few_shot", "zero_shot"))
 
 

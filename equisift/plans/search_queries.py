@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import kmeans, neighbors
+from ..functions.lineage import shared_dir
+from ..operators import kmeans, metrics, neighbors, reports
+from ..sources import tables
+from ..sources.embeddings import EmbeddingStore
 from ..sources.tables import table
-from .queries import CLUSTERS, E_SQL, K, SEED, query, rows
+from .queries import BOTH_SQL, CLUSTERS, E_SQL, K, RUNS_SQL, SEED, both, metric_sql, query, rows, runs
 
 # ---- clustering: seeds and starts
 
@@ -85,3 +90,92 @@ def q37(spark, sf_dir):
     v = F.array(F.col("p_size").cast("double") - 25, F.col("p_retailprice").cast("double") / 50 - 25, (k % 7).cast("double") - 3, (F.length("p_name") % 9).cast("double") - 4)
     p = table(spark, sf_dir, "part").select(k.alias("row_id"), v.alias("v"))
     return neighbors.nearest(p.filter("row_id % 20 = 0"), p, K, exclude_self=True, pool_block=256).withColumn("sim", F.round("sim", 6))
+
+
+# ---- stores and files
+
+
+def own_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/equisift/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "q38_run_registry",
+    f"""WITH m AS (SELECT * FROM {metric_sql(RUNS_SQL, 'run, method, ')} WHERE run IN ('RF', 'NO'))
+SELECT run, round(max(f1_score) FILTER (method = 'few_shot'), 6) AS few_shot, round(max(f1_score) FILTER (method = 'zero_shot'), 6) AS zero_shot FROM m GROUP BY run""",
+)
+def q38(spark, sf_dir):
+    """Two runs, one of them written again with other rows; both read back from their folders and set side by side."""
+    folder, all_runs = own_folder(spark, "results"), runs(spark, sf_dir)
+    for run, some in (("RF", all_runs.filter("run = 'AF'")), ("NO", all_runs.filter("run = 'NO'")), ("RF", all_runs.filter("run = 'RF'"))):
+        tables.write_results(metrics.evaluate(some, ["method"]), folder, run)
+    long = tables.read_results(spark, folder).filter("type = 'evaluation'").select("run", "method", "metric", F.col("value_num").alias("value"))
+    return metrics.rounded(reports.across_runs(long, "f1_score", ["few_shot", "zero_shot"]), ("few_shot", "zero_shot"))
+
+
+def _hashed(texts):
+    """Vectors from a digest of the text; none where it begins with 0."""
+    digest = F.md5("text")
+    part = lambda i: F.conv(F.substring(digest, i, 4), 16, 10).cast("double") / 65536
+    return texts.withColumn("v", F.when(F.substring(digest, 1, 1) != "0", F.array(part(1), part(5))))
+
+
+@query(
+    "q39_embedding_store",
+    """WITH d AS (SELECT doc_id, text, md5(text) AS h FROM documents), g AS (SELECT count(DISTINCT text) FILTER (doc_id % 2 = 0) AS first, count(DISTINCT text) AS every FROM d WHERE h[1] <> '0')
+SELECT doc_id, CASE WHEN h[1] <> '0' THEN round(('0x' || h[1:4])::BIGINT / 65536, 6) ELSE 0 END AS x, CASE WHEN h[1] <> '0' THEN round(('0x' || h[5:8])::BIGINT / 65536, 6) ELSE 0 END AS y, g.first AS added_first, every - g.first AS added_then
+FROM d, g""",
+)
+def q39(spark, sf_dir):
+    """Documents embedded in two runs over one store: the second embeds only texts that the first has not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = EmbeddingStore(spark, own_folder(spark, "embeddings"), "digest", _hashed, 2)
+    first = store.add(docs.filter("doc_id % 2 = 0"))
+    then = store.add(docs)
+    store.ledger.compact()
+    out = store.embedded(docs)
+    return out.select("doc_id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"), F.lit(first).cast("long").alias("added_first"), F.lit(then).cast("long").alias("added_then"))
+
+
+LINES = {"accuracy": "Accuracy", "precision": "Precision", "recall": "Recall", "f1_score": "F1-Score"}
+
+
+@query(
+    "q40_text_report",
+    f"WITH {BOTH_SQL} SELECT unnest([upper(method) || ' RESULTS', {', '.join(f"""'  {LINES.get(c, c)}: ' || printf('%.4f', "{c}")""" for c in metrics.ALL)}]) AS line FROM m",
+)
+def q40(spark, sf_dir):
+    """The results of both methods as lines of text, written and read back."""
+    folder = own_folder(spark, "report")
+    tables.write_report(both(spark, sf_dir), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+CENSUS_SQL = """c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS part, 18 + c_custkey % 60 AS age, CASE WHEN c_custkey % 11 = 0 THEN '?' ELSE c_mktsegment END AS workclass,
+  'edu' || c_nationkey AS education, 'job' || (c_custkey % 7 + (c_custkey % 5 = 0)::INT) AS occupation, CASE WHEN c_acctbal > 4500 THEN '>50K' ELSE '<=50K' END AS income FROM customer)"""
+
+
+def _coded_sql(c: str) -> str:
+    return f"coalesce((SELECT code FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM t WHERE part = 'train')) WHERE x = t.{c}), -1)::INT AS {c}"
+
+
+@query(
+    "q41_census_files",
+    f"WITH {CENSUS_SQL}, t AS (SELECT * FROM c WHERE workclass <> '?') SELECT part, age::INT AS age, {', '.join(_coded_sql(c) for c in ('workclass', 'education', 'occupation', 'income'))} FROM t",
+)
+def q41(spark, sf_dir):
+    """A training and a test file in the census's form, read, cleaned and encoded together."""
+    k = F.col("c_custkey")
+    test = k % 5 == 0
+    rows = table(spark, sf_dir, "customer").select(
+        test.alias("test"),
+        F.concat_ws(
+            ", ", 18 + k % 60, F.when(k % 11 == 0, "?").otherwise(F.col("c_mktsegment")), k, F.concat(F.lit("edu"), "c_nationkey"), k % 16, F.lit("single"), F.concat(F.lit("job"), k % 7 + test.cast("int")), F.lit("own"),
+            F.lit("other"), F.when(k % 2 == 0, "Male").otherwise("Female"), F.lit(0), F.lit(0), F.lit(40), F.when(k % 3 == 0, "?").otherwise("here"),
+            F.concat(F.when(F.col("c_acctbal") > 4500, ">50K").otherwise("<=50K"), F.when(test, ".").otherwise("")),
+        ).alias("value"),
+    )
+    folder = own_folder(spark, "census")
+    for name, wanted in (("train", "not test"), ("test", "test")):
+        rows.filter(wanted).select("value").write.text(f"{folder}/{name}")
+    return tables.census(spark, f"{folder}/train", f"{folder}/test").select("part", "age", "workclass", "education", "occupation", "income")

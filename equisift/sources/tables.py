@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..config import SelectionConfig
 from ..operators import encoding, reports
+from .ledger import published_once
 
 # The columns of the headerless census files, in order, and those left out.
 CENSUS = (
@@ -49,21 +49,27 @@ def content_key(df: DataFrame) -> str:
 
 
 def cached(spark: SparkSession, folder: str, name: str, config: SelectionConfig, make, source: DataFrame | None = None) -> DataFrame:
-    """A table kept between runs under a key of its parameters and of the rows of `source`, what it is made from: other parameters or rows never meet an old file."""
-    path = f"{folder}/{name}-{config.key()}" + (f"-{content_key(source)}" if source is not None else "")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    """A table kept between runs under a key of its parameters and of the rows of `source`, what it is made from: other parameters or rows never meet an old file. It counts once a manifest names it, so a run that ends
+    while it writes leaves nothing that a later one reads."""
+    return published_once(spark, folder, f"{name}-{config.key()}" + (f"-{content_key(source)}" if source is not None else ""), make)
 
 
-def write_results(metrics: DataFrame, path: str, config: SelectionConfig | None = None) -> None:
-    """The results as CSV with a header: type, method, metric, value."""
+#: A run's results, as they are kept.
+RESULTS = "type string, method string, metric string, value string, run string"
+
+
+def write_results(metrics: DataFrame, folder: str, run: str, config: SelectionConfig | None = None) -> None:
+    """A run's parameters and results as CSV with a header (type, method, metric, value) under folder/run=<run>. Other runs stay; writing a run again replaces it."""
     from dataclasses import asdict
 
-    rows = reports.results(metrics, asdict(config) if config else None)
-    rows.drop("value_num").write.mode("overwrite").csv(path, header=True)
+    rows = reports.results(metrics, asdict(config) if config else None).withColumn("run", F.lit(run))
+    rows.drop("value_num").write.partitionBy("run").mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(folder, header=True)
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, type, method, metric, value, value_num) of all runs; a filter on run reads its files only. value_num is null where value is no number."""
+    rows = spark.read.schema(RESULTS).csv(folder, header=True)
+    return rows.select("run", "type", "method", "metric", "value", F.expr("try_cast(value AS double)").alias("value_num"))
 
 
 def write_report(metrics: DataFrame, path: str) -> None:
