@@ -19,6 +19,8 @@ from .common import cut, forget
 
 #: Rows of a cell's sides; rows of a block that are compared at once; blocks of the first round, and how many times more each next one has.
 QUERY_BLOCK, BLOCK, SLICE, FIRST, GROWTH = 1024, 4096, 1024, 1, 4
+#: Quantiles of what queries need, at most.
+QUANTILES = 256
 #: Shares of the rotated coordinates after which bounds are taken.
 STAGES = (0.125, 0.25, 0.5)
 #: Products of lengths from here on aren't exact in doubles, and are made of Python's integers.
@@ -136,6 +138,22 @@ def best_products(q: np.ndarray, q_rid: np.ndarray, floor: np.ndarray, p: np.nda
 _LAST = np.iinfo(np.int64).max
 
 
+def _grouped(queries: DataFrame, n: int) -> DataFrame:
+    """queries with `need`, the length that a vector must have to count, and `group`: about QUERY_BLOCK queries each. Those that need about the same length stand together, so that a group meets few blocks: needs are dealt
+    to quantiles, and a quantile's queries (many may need the same) to as many groups as their number asks for."""
+    need = F.when(F.col("least") <= 0, -1.0).when(F.col("sq") == 0, float("inf")).otherwise(F.col("least") / F.sqrt("sq"))
+    rows = queries.withColumn("need", need)
+    cuts = min(QUANTILES, -(-n // QUERY_BLOCK))
+    bounds = rows.agg(F.percentile_approx("need", [i / cuts for i in range(1, cuts)])).first()[0] if cuts > 1 else []
+    rows = rows.withColumn("q", F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]), lambda x: x <= F.col("need"))) if bounds else F.lit(0))
+    splits = {r["q"]: -(-r["n"] // QUERY_BLOCK) for r in rows.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    first, table = 0, []
+    for q, m in sorted(splits.items()):
+        table.append((q, first, m))
+        first += m
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "q int, first int, m int")), "q").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("m"))).cast("int")).drop("q", "first", "m")
+
+
 def top_products(rows: DataFrame, k: int, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that meets is_query (SQL over `id`) the k rows of greatest integer inner product, its own row left out; fewer if there are no more. Ranks from 1, ties to the smaller id.
 
@@ -163,10 +181,7 @@ def top_products(rows: DataFrame, k: int, is_query: str, id_col: str = "vec_id",
 
     found, at, size = None, 0, FIRST
     while at < len(longest) and (n := queries.count()):
-        # Queries that need vectors of about the same length stand together, so that a group of them meets few blocks.
-        need = F.when(F.col("least") <= 0, float("-inf")).when(F.col("sq") == 0, float("inf")).otherwise(F.col("least") / F.sqrt("sq"))
-        groups = queries.withColumn("need", need).repartitionByRange(-(-n // QUERY_BLOCK), "need", "rid").withColumn("group", F.spark_partition_id())
-        groups = cut(groups, "products-groups")
+        groups = cut(_grouped(queries, n), "products-groups")
         reach = queries.sparkSession.createDataFrame(longest[at : at + size], "block int, longest double")
         cells = groups.groupBy("group").agg(F.min("need").alias("need")).withColumn("block", F.explode(F.sequence(F.lit(longest[at][0]), F.lit(longest[at : at + size][-1][0]))))
         cells = cut(cells.join(reach, "block").filter("longest >= need").select("group", "block"), "products-cells")
