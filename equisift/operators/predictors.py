@@ -45,9 +45,19 @@ class SimilarityVote:
     """1 where the cosines to the set's positive demonstrations outweigh those to the negative ones; 0 without demonstrations.
 
     The vote is a sum over demonstrations: sum of cos(t, d) (2 y - 1) is the product of the unit vector of t with one vector for the
-    set, so a set is summed once (by dimension, pre-aggregated) and each test row meets one row however large its set is.
+    set, so a set is summed once (by dimension, pre-aggregated) and each test row meets one row however large its set is. Because it is a sum, sets that grow need only what each new demonstration adds: see `vote`.
     """
 
+    @staticmethod
+    def prepared(v: str) -> Column:
+        """What vote() takes of a row's vector."""
+        return unit(v)
+
+    @staticmethod
+    def vote(test: str, demo: str, y: str) -> Column:
+        """What one demonstration adds to a test row's sum; the prediction is 1 where the sum, rounded to 9 digits, is positive."""
+        return dot(test, demo) * (2 * F.col(y) - 1)
+
     def predict(self, test: DataFrame, demos: DataFrame | None = None) -> DataFrame:
         if demos is None:
             return Constant().predict(test)

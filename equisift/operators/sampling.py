@@ -37,7 +37,7 @@ def head(df: DataFrame, n: int, row_id: str = "row_id") -> DataFrame:
     return df.orderBy(row_id).limit(n)
 
 
-def roulette(df: DataFrame, by: str, k: int, seed: int, round_: int, score: str = "score", row_id: str = "row_id") -> DataFrame:
+def roulette(df: DataFrame, by: str | list[str], k: int, seed: int, round_: int, score: str = "score", row_id: str = "row_id") -> DataFrame:
     """k rows of each cell without replacement, drawn in proportion to score (least -ln(u) / score); rows without a positive score come last, by id.
 
     The rank is limited by a constant, so every task keeps k rows of a cell at most before the shuffle.
@@ -48,7 +48,7 @@ def roulette(df: DataFrame, by: str, k: int, seed: int, round_: int, score: str
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_key", "_r")
 
 
-def top_k(df: DataFrame, by: str, k: int, score: str = "score", row_id: str = "row_id") -> DataFrame:
+def top_k(df: DataFrame, by: str | list[str], k: int, score: str = "score", row_id: str = "row_id") -> DataFrame:
     """The k rows of each cell with the greatest score (ties by id), with `rank`; none for k = 0."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), row_id)
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir
-from ..operators import kmeans, metrics, neighbors, reports
+from ..functions.lineage import settle, shared_dir
+from ..functions.rng import uniform_sql
+from ..operators import evolution, kmeans, metrics, neighbors, reports
+from ..operators.predictors import Rule, SimilarityVote
 from ..sources import tables
 from ..sources.embeddings import EmbeddingStore
 from ..sources.tables import table
-from .queries import BOTH_SQL, CLUSTERS, E_SQL, K, RUNS_SQL, SEED, both, metric_sql, query, rows, runs
+from .queries import BOTH_SQL, CLUSTERS, E_SQL, K, RUNS_SQL, S_SQL, SEED, both, metric_sql, query, round_sql, rows, runs, split
+from .selector import few_shot_by_metric
 
 # ---- clustering: seeds and starts
 
@@ -92,6 +95,36 @@ def q37(spark, sf_dir):
     return neighbors.nearest(p.filter("row_id % 20 = 0"), p, K, exclude_self=True, pool_block=256).withColumn("sim", F.round("sim", 6))
 
 
+# ---- sweep over fairness metrics
+
+FAIR = ("ratio_eo", "delta_eo", "ratio_dp", "delta_dp")
+
+
+def sweep_sql(i: int) -> str:
+    """Round i of all metrics' evolutions: scored{i} from scored{i - 1}."""
+    gain = " ".join(f"WHEN '{m}' THEN m.{m} - b.{m}" for m in FAIR)
+    return f"""d{i} AS (SELECT * FROM scored{i - 1} QUALIFY row_number() OVER (PARTITION BY metric_fair, sg ORDER BY CASE WHEN score > 0 THEN -ln({uniform_sql(SEED, 'roulette', i)}) / score END NULLS LAST, row_id) <= {K}),
+v{i} AS (SELECT d.metric_fair, d.sg, t.row_id, any_value(t.y) AS y, any_value(t.z) AS z, (round(sum(list_cosine_similarity(t.v, d.v) * (2 * d.y - 1)), 9) > 0)::INT AS yhat FROM dev t, d{i} d GROUP BY d.metric_fair, d.sg, t.row_id),
+e{i} AS (SELECT metric_fair, sg, round(0.5 * greatest(m.f1_score - b.f1_score, 0.05) + 0.5 * greatest(CASE metric_fair {gain} END, 0.05), 9) AS e FROM {metric_sql(f'v{i}', 'metric_fair, sg, ')} m, base b),
+scored{i} AS (SELECT p.* EXCLUDE (score), CASE WHEN d.row_id IS NOT NULL THEN (p.score + e.e) / 2 ELSE p.score END AS score FROM scored{i - 1} p LEFT JOIN d{i} d ON d.metric_fair = p.metric_fair AND d.row_id = p.row_id LEFT JOIN e{i} e ON e.metric_fair = p.metric_fair AND e.sg = p.sg)"""
+
+
+@query(
+    "q42_metric_sweep",
+    f"""WITH {S_SQL}, dev AS (SELECT * FROM s WHERE split = 'dev'), scored0 AS (SELECT s.*, f.metric_fair FROM s, (SELECT unnest({list(FAIR)}) AS metric_fair) f WHERE split = 'train'),
+zero AS (SELECT y, z, 0 AS yhat FROM dev), base AS (SELECT * FROM {metric_sql('zero')}), {sweep_sql(1)}, {sweep_sql(2)},
+pool AS (SELECT * FROM scored2 QUALIFY row_number() OVER (PARTITION BY metric_fair, sg ORDER BY score DESC, row_id) <= {K}),
+found AS (SELECT p.metric_fair, t.row_id, any_value(t.y) AS y, any_value(t.z) AS z, (round(sum(list_cosine_similarity(t.v, p.v) * (2 * p.y - 1)), 9) > 0)::INT AS yhat FROM dev t, pool p GROUP BY p.metric_fair, t.row_id)
+SELECT metric_fair, {round_sql(metrics.ALL)} FROM {metric_sql('found', 'metric_fair, ')}""",
+)
+def q42(spark, sf_dir):
+    """Two rounds of evolution for four fairness metrics in the same jobs, and what each one's pool predicts."""
+    s = split(spark, sf_dir)
+    dev = settle(s.filter("split = 'dev'").drop("split"))
+    scored = evolution.evolve(s.filter("split = 'train'").drop("split"), dev, SimilarityVote(), 2, K, SEED, metric_fair=FAIR, zero_shot=Rule("false"))
+    return metrics.rounded(few_shot_by_metric(scored, dev.select("row_id", "y", "z", "v"), K, SimilarityVote()), metrics.ALL)
+
+
 # ---- stores and files
 
 

@@ -27,12 +27,19 @@ class FairSelector:
         self.dev = settle(sampling.sample(split.filter("split = 'dev'").drop("split"), c.max_dev_samples, c.seed, "dev"))
         return self
 
-    def fit(self) -> "FairSelector":
+    def represent(self) -> DataFrame:
+        """The representatives of each cell, with the score that evolution begins with."""
         c = self.config
         centroids = clustering.lloyd(self.train, c.n_clusters, c.lloyd_rounds, c.seed, c.lloyd_starts, c.seeding)
         picked = clustering.representatives(self.train, centroids, c.n_clusters, c.m_neighbors)
-        scored = settle(picked.select("sg", "row_id", "y", "z", "v", F.lit(c.floor).alias("score")))
-        self.scored = evolution.evolve(scored, self.dev, self.predictor, c.iterations, c.k_shots, c.seed, c.alpha, c.floor, c.metric_pred, c.metric_fair, self.zero_shot)
+        return settle(picked.select("sg", "row_id", "y", "z", "v", F.lit(c.floor).alias("score")))
+
+    def evolve(self, scored: DataFrame, metric_fair: str | tuple[str, ...]) -> DataFrame:
+        c = self.config
+        return evolution.evolve(scored, self.dev, self.predictor, c.iterations, c.k_shots, c.seed, c.alpha, c.floor, c.metric_pred, metric_fair, self.zero_shot)
+
+    def fit(self) -> "FairSelector":
+        self.scored = self.evolve(self.represent(), self.config.metric_fair)
         return self
 
     def select_demonstrations(self, k: int | None = None) -> DataFrame:
@@ -79,12 +86,24 @@ def run_selection(train: DataFrame, test: DataFrame, config: SelectionConfig = S
     return out.unionByName(s.evaluate_adaptive(test, with_pool=False)) if adaptive_search else out
 
 
-def sweep(train: DataFrame, test: DataFrame, fair_metrics: list[str], config: SelectionConfig = SelectionConfig()) -> DataFrame:
-    """Phase one for each fairness metric; (metric_fair, method, 14 metrics)."""
-    from dataclasses import replace
+def few_shot_by_metric(scored: DataFrame, test: DataFrame, k: int, predictor: Predictor) -> DataFrame:
+    """(metric_fair, 14 metrics) of predictions for test (row_id, y, z, v) with the k best rows of each cell, for each metric that scored (metric_fair, sg, row_id, y, v, score) has. All are predicted in one job."""
+    pool = settle(sampling.top_k(scored, ["metric_fair", "sg"], k).withColumn("set_id", F.col("metric_fair")))
+    # One row for each metric.
+    rows = test.join(F.broadcast(pool.select("set_id").distinct()))
+    pred = rows.select("set_id", "row_id", "y", "z").join(predictor.predict(rows, pool), ["set_id", "row_id"])
+    return metrics.evaluate(pred.withColumnRenamed("set_id", "metric_fair"), ["metric_fair"])
+
+
+def sweep(train: DataFrame, test: DataFrame, fair_metrics: list[str], config: SelectionConfig = SelectionConfig(), predictor: Predictor | None = None) -> DataFrame:
+    """Phase one for each fairness metric; (metric_fair, method, 14 metrics).
 
-    out = None
-    for m in fair_metrics:
-        part = run_selection(train, test, replace(config, metric_fair=m), adaptive_search=False).withColumn("metric_fair", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return out
+    Loading, clustering and the prediction without demonstrations don't hang on the metric and are made once; draws, scores and predictions of all metrics are the same jobs, keyed by metric and cell.
+    """
+    s = FairSelector(config, predictor).load(train)
+    scored = s.evolve(s.represent(), tuple(fair_metrics))
+    rows = settle(s._test(test).withColumn("set_id", F.lit("all")))
+    few = few_shot_by_metric(scored, rows.drop("set_id"), config.k_shots, s.predictor).withColumn("method", F.lit("few_shot"))
+    zero = metrics.evaluate(rows.select("row_id", "y", "z").join(s.zero_shot.predict(rows, None), "row_id"))
+    zero = zero.withColumns({"metric_fair": F.explode(F.array(*[F.lit(m) for m in fair_metrics])), "method": F.lit("zero_shot")})
+    return few.unionByName(zero).select("metric_fair", "method", *metrics.ALL)
