@@ -68,37 +68,52 @@ class SimilarityVote:
         return test.join(votes, "set_id", "left").select("set_id", "row_id", F.when(score > 0, 1).otherwise(0).alias("yhat"))
 
 
+def _session(make_clients: Callable[[], list], retries: int) -> Callable[[int], Callable[[str], tuple[str | None, int]]]:
+    """For a task: a function from a prompt to (answer or None, client), that tries clients in turn from the one that last answered."""
+
+    def begin(first: int):
+        clients, at = make_clients(), first
+
+        def ask(prompt: str) -> tuple[str | None, int]:
+            nonlocal at
+            for i in range(len(clients) * retries):
+                k = (at + i // retries) % len(clients)
+                try:
+                    answer, at = clients[k](prompt), k
+                    return answer, k
+                except Exception:  # noqa: BLE001  any failure of a client passes on to the next
+                    continue
+            return None, at
+
+        return ask
+
+    return begin
+
+
 class RemoteModel:
     """Asks a model for each prompt. `clients` are functions from a prompt to an answer; they are tried in turn from the one that last answered, and 0 is
     the prediction if none does. test must have a `prompt` column; answers are read by parse_response.
 
-    Requests go out from the tasks, batch by batch; `make_clients` is called once in each task.
+    Requests go out from the tasks, batch by batch; `make_clients` is called once in each task. With a journal (sources.answers.AnswerJournal) a prompt is asked once for all rows, runs and attempts; without, once for each row.
     """
 
-    def __init__(self, make_clients: Callable[[], list[Callable[[str], str]]], retries: int = 1):
-        self.make_clients, self.retries = make_clients, retries
+    def __init__(self, make_clients: Callable[[], list[Callable[[str], str]]], retries: int = 1, journal=None):
+        self.make_clients, self.retries, self.journal = make_clients, retries, journal
 
     def predict(self, test: DataFrame, demos: DataFrame | None = None) -> DataFrame:
-        make, retries = self.make_clients, self.retries
-
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            clients, at = make(), 0
-            for batch in batches:
-                answers = []
-                for prompt in batch["prompt"]:
-                    answer = None
-                    for i in range(len(clients) * retries):
-                        k = (at + i // retries) % len(clients)
-                        try:
-                            answer, at = clients[k](prompt), k
-                            break
-                        except Exception:  # noqa: BLE001  any failure of a client passes on to the next
-                            continue
-                    answers.append(answer)
-                yield batch[["set_id", "row_id"]].assign(answer=answers)
-
-        kinds = dict(test.dtypes)
-        said = test.select("set_id", "row_id", "prompt").mapInPandas(ask, f"set_id {kinds['set_id']}, row_id {kinds['row_id']}, answer string")
+        session, kinds = _session(self.make_clients, self.retries), dict(test.dtypes)
+        rows = test.select("set_id", "row_id", "prompt")
+        if self.journal is not None:
+            self.journal.ask(rows, session)
+            said = rows.withColumn("_key", self.journal.key("prompt")).join(self.journal.answers().select(F.col("key").alias("_key"), "answer"), "_key", "left")
+        else:
+
+            def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                call = session(0)
+                for batch in batches:
+                    yield batch[["set_id", "row_id"]].assign(answer=[call(prompt)[0] for prompt in batch["prompt"]])
+
+            said = rows.mapInPandas(ask, f"set_id {kinds['set_id']}, row_id {kinds['row_id']}, answer string")
         return said.select("set_id", "row_id", parse_response(F.coalesce("answer", F.lit(""))).alias("yhat"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.lineage import settle, shared_dir
 from ..functions.rng import uniform_sql
 from ..operators import evolution, kmeans, metrics, neighbors, reports
-from ..operators.predictors import Rule, SimilarityVote
+from ..operators.predictors import RemoteModel, Rule, SimilarityVote
 from ..sources import tables
+from ..sources.answers import AnswerJournal
 from ..sources.embeddings import EmbeddingStore
 from ..sources.tables import table
 from .queries import BOTH_SQL, CLUSTERS, E_SQL, K, RUNS_SQL, S_SQL, SEED, both, metric_sql, query, round_sql, rows, runs, split
@@ -212,3 +214,36 @@ def q41(spark, sf_dir):
     for name, wanted in (("train", "not test"), ("test", "test")):
         rows.filter(wanted).select("value").write.text(f"{folder}/{name}")
     return tables.census(spark, f"{folder}/train", f"{folder}/test").select("part", "age", "workclass", "education", "occupation", "income")
+
+
+def _two_clients():
+    """Stand-ins that answer by a digest of the prompt; the first fails on prompts whose digest begins with 0 to 3, both on those that begin with 0."""
+
+    def client(refused: str):
+        def answer(prompt: str) -> str:
+            digest = hashlib.md5(prompt.encode()).hexdigest()
+            if digest[0] in refused:
+                raise ConnectionError("no answer")
+            return "Greater than 50K" if digest[1] >= "8" else "less than or equal to 50K"
+
+        return answer
+
+    return [client("0123"), client("0")]
+
+
+@query(
+    "q43_answer_journal",
+    """WITH c AS (SELECT conv_id, turn, text, md5(text) AS h FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT count(DISTINCT text) FILTER (conv_id % 2 = 0) AS first, count(DISTINCT text) AS every FROM c WHERE h[1] <> '0')
+SELECT conv_id * 1000 + turn AS row_id, CASE WHEN h[1] <> '0' AND h[2] >= '8' THEN 1 ELSE 0 END AS yhat, first AS answered_first, every AS answered FROM c, g""",
+)
+def q43(spark, sf_dir):
+    """Texts as prompts in two runs over one journal: half of the conversations, then all. Each distinct prompt is asked until it has one answer."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null")
+    test = c.select(F.lit("all").alias("set_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("prompt"), "conv_id")
+    journal = AnswerJournal(spark, own_folder(spark, "answers"))
+    model = RemoteModel(_two_clients, journal=journal)
+    model.predict(test.filter("conv_id % 2 = 0"))
+    first = journal.answers().count()
+    out = model.predict(test)
+    return out.select("row_id", "yhat", F.lit(first).cast("long").alias("answered_first"), F.lit(journal.answers().count()).cast("long").alias("answered"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import SelectionConfig
@@ -58,12 +60,14 @@ def cached(spark: SparkSession, folder: str, name: str, config: SelectionConfig,
 RESULTS = "type string, method string, metric string, value string, run string"
 
 
-def write_results(metrics: DataFrame, folder: str, run: str, config: SelectionConfig | None = None) -> None:
-    """A run's parameters and results as CSV with a header (type, method, metric, value) under folder/run=<run>. Other runs stay; writing a run again replaces it."""
+def write_results(metrics: DataFrame, folder: str, run: str | None = None, config: SelectionConfig | None = None) -> str:
+    """A run's parameters and results as CSV with a header (type, method, metric, value) under folder/run=<run>; the run's name, made of the time where none is given. Other runs stay; writing a run again replaces it."""
     from dataclasses import asdict
 
+    run = run or f"results_{datetime.now():%Y%m%d_%H%M%S}"
     rows = reports.results(metrics, asdict(config) if config else None).withColumn("run", F.lit(run))
     rows.drop("value_num").write.partitionBy("run").mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(folder, header=True)
+    return run
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:

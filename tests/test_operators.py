@@ -380,9 +380,9 @@ def test_both_phases(spark, tmp_path):
     out = run_selection(train, test, config)
     got = {r["method"]: r["accuracy"] for r in out.collect()}
     assert set(got) == {"zero_shot", "few_shot", "adaptive"} and got["few_shot"] > 0.6
-    tables.write_results(out, str(tmp_path / "r"), config)
-    back = spark.read.csv(str(tmp_path / "r"), header=True)
-    assert back.columns == ["type", "method", "metric", "value"] and back.filter("type = 'evaluation'").count() == 3 * 14
+    run = tables.write_results(out, str(tmp_path / "r"), config=config)
+    back = spark.read.csv(str(tmp_path / f"r/run={run}"), header=True)
+    assert run.startswith("results_2") and back.columns == ["type", "method", "metric", "value"] and back.filter("type = 'evaluation'").count() == 3 * 14
     tables.write_report(out, str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).filter("value like '%Accuracy%'").count() == 3
     assert reports.improvements(out, "zero_shot", "few_shot").count() == 1
