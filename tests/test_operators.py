@@ -1,5 +1,6 @@
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 from equisift.config import SelectionConfig
 from equisift.functions import prompts
 from equisift.functions.rng import uniform_value
-from equisift.operators import adaptive, clustering, encoding, kmeans, metrics, neighbors, reports, sampling
+from equisift.operators import adaptive, clustering, encoding, evolution, kmeans, metrics, neighbors, reports, sampling
 from equisift.operators.predictors import Constant, RemoteEmbedder, RemoteModel, Rule, SimilarityVote
-from equisift.plans.selector import FairSelector, run_selection
+from equisift.plans.selector import FairSelector, run_selection, sweep
 from equisift.sources import tables
 
 
@@ -342,17 +343,35 @@ def brute_search(pool, sets, rounds):
     return sorted(best), trace
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_adaptive_search(spark, seed):
-    rng = random.Random(seed)
-    pool = {i: (rng.randint(0, 1), rng.randint(0, 1), [rng.gauss(0, 1) for _ in range(3)]) for i in range(12)}
-    sets = {q: rng.sample(sorted(pool), 1 if q == 3 else 4) for q in range(5)}
+class AskedByRounds:
+    """The same votes, from a predictor that doesn't say that they add up."""
+
+    def predict(self, test, demos=None):
+        return SimilarityVote().predict(test, demos)
+
+
+@pytest.mark.parametrize("predictor", [SimilarityVote(), AskedByRounds()])
+def test_adaptive_search(spark, predictor):
+    """Four batches, with a lone neighbour, sets of unlike sizes and more rounds than neighbours."""
+    pools, sets, pool = {}, {}, {}
+    for batch in range(4):
+        rng = random.Random(batch)
+        own = {100 * batch + i: (rng.randint(0, 1), rng.randint(0, 1), [rng.gauss(0, 1) for _ in range(3)]) for i in range(12)}
+        pool |= own
+        pools[batch] = own
+        sets[batch] = {10 * batch + q: rng.sample(sorted(own), 1 if q == 3 else 2 + (q + batch) % 3) for q in range(5)}
     rows = spark.createDataFrame([(i, *x) for i, x in pool.items()], "row_id long, y int, z int, v array<double>")
-    df = spark.createDataFrame([(0, q, r, p) for q, s in sets.items() for r, p in enumerate(s, 1)], "batch_id long, q_id long, rank int, p_id long")
-    best, trace = adaptive.search(df, rows, SimilarityVote(), 4)
-    want_best, want = brute_search(pool, sets, 4)
-    assert [(r["err"], r["weakest"], r["n"]) for r in trace.orderBy("round").collect()] == want
-    assert sorted(r["p_id"] for r in best.collect()) == want_best
+    df = spark.createDataFrame([(b, q, r, p) for b, own in sets.items() for q, s in own.items() for r, p in enumerate(s, 1)], "batch_id long, q_id long, rank int, p_id long")
+    rounds = 6 if isinstance(predictor, SimilarityVote) else 2
+    best, trace = adaptive.search(df, rows, predictor, rounds)
+    got, found = {}, {}
+    for r in trace.orderBy("round").collect():
+        got.setdefault(r["batch_id"], []).append((r["err"], r["weakest"], r["n"]))
+    for r in best.collect():
+        found.setdefault(r["batch_id"], []).append(r["p_id"])
+    for b in sets:
+        want_best, want = brute_search(pools[b], sets[b], rounds)
+        assert got[b] == want and sorted(found[b]) == want_best
 
 
 def test_search_without_rounds(spark):
@@ -388,6 +407,40 @@ def test_both_phases(spark, tmp_path):
     assert reports.improvements(out, "zero_shot", "few_shot").count() == 1
 
 
+FAIR = ("ratio_eo", "delta_dp")
+
+
+def test_metrics_evolve_side_by_side(spark):
+    """Each metric's scores are those that it has alone; only rows drawn have moved."""
+    rows = selection_rows(spark, 80, 1).withColumn("sg", F.concat(F.lit("g"), "z", "y")).withColumn("score", 0.2 + F.col("row_id") % 5 / 10)
+    dev = selection_rows(spark, 40, 2)
+    both = evolution.evolve(rows, dev, SimilarityVote(), 3, 4, 1, metric_fair=FAIR, zero_shot=Rule("v[0] > 0.5"))
+    got = {(r["metric_fair"], r["row_id"]): r["score"] for r in both.collect()}
+    assert len(got) == 2 * rows.count()
+    first = {r["row_id"]: r["score"] for r in rows.collect()}
+    for m in FAIR:
+        alone = {r["row_id"]: r["score"] for r in evolution.evolve(rows, dev, SimilarityVote(), 3, 4, 1, metric_fair=m, zero_shot=Rule("v[0] > 0.5")).collect()}
+        assert alone == {i: s for (k, i), s in got.items() if k == m}
+        assert 4 <= sum(s != first[i] for i, s in alone.items()) <= 3 * 4 * 4
+
+
+def test_log_is_folded_in_order(spark):
+    scored = spark.createDataFrame([("m", "g", 1, 1.0), ("m", "g", 2, 1.0), ("n", "g", 1, 8.0)], "metric_fair string, sg string, row_id long, score double")
+    log = spark.createDataFrame([("m", "g", 1, 0.5, 2), ("m", "g", 1, 0.2, 1)], "metric_fair string, sg string, row_id long, e double, round int")
+    got = {(r["metric_fair"], r["row_id"]): r["score"] for r in evolution.with_log(scored, log).collect()}
+    assert got == {("m", 1): pytest.approx(((1.0 + 0.2) / 2 + 0.5) / 2), ("m", 2): 1.0, ("n", 1): 8.0}
+
+
+def test_sweep_equals_single_runs(spark):
+    config = SelectionConfig(n_clusters=2, m_neighbors=3, k_shots=2, iterations=2, max_test_samples=25, lloyd_rounds=1, lloyd_starts=2)
+    train, test = selection_rows(spark, 120, 1), selection_rows(spark, 30, 2)
+    got = {(r["metric_fair"], r["method"]): tuple(r)[2:] for r in sweep(train, test, list(FAIR), config).collect()}
+    assert len(got) == 4
+    for m in FAIR[:1]:
+        alone = {r["method"]: tuple(r[c] for c in metrics.ALL) for r in run_selection(train, test, replace(config, metric_fair=m), adaptive_search=False).collect()}
+        assert alone == {method: v for (k, method), v in got.items() if k == m}
+
+
 def test_census(spark, tmp_path):
     line = "39, Private, 1, B, 13, Never, {}, Rel, White, {}, 0, 0, 40, {}, {}\n"
     (tmp_path / "a").write_text(line.format("X", "Male", "?", "<=50K") + line.format("?", "Male", "US", ">50K") + line.format("Y", "Female", "US", ">50K"))
