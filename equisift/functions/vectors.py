@@ -21,7 +21,8 @@ def unit(v: str | Column) -> Column:
     """v over its length; a zero vector stays as it is, so its cosine with anything is 0."""
     v = F.col(v) if isinstance(v, str) else v
     length = F.sqrt(_sum(F.transform(v, lambda x: x * x)))
-    return F.transform(v, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    # Bound by a lambda of its own, or the length would be made again for each component.
+    return F.transform(F.array(F.when(length == 0, F.lit(1.0)).otherwise(length)), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
