@@ -18,6 +18,7 @@ QUERIES = {
     "op11_fill_in_middle": infilling.op11_fill_in_middle,
     "op12_top_products": top_products.op12_top_products,
     "op13_change_points": change_points.op13_change_points,
+    "url_rules": url_filter.url_rules,
 }
 
 ORACLE_SQL = {
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op11_fill_in_middle": infilling.ORACLE,
     "op12_top_products": top_products.ORACLE,
     "op13_change_points": change_points.ORACLE,
+    "url_rules": url_filter.RULES_ORACLE,
 }
