@@ -5,7 +5,7 @@ Sorting all rows by fractional rank interleaves the sources in proportion, and e
 
 No rank needs a source, or the whole table, in one task: both orders are dealt into buckets of some thousand rows (by the seeded hash,
 which is uniform, and by the fractional rank, which is uniform by construction), bucket counts are summed up to offsets, and rows are
-numbered inside their bucket only.
+numbered inside their bucket only. Wholly equal rows have one hash, so they are counted first: a bucket numbers distinct rows, each of which takes as many places as it has copies.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
 
-#: Rows that a bucket has on average.
-BUCKET_ROWS = 2048
+#: Rows that a bucket has on average; copies of one row that a task writes out.
+BUCKET_ROWS, COPIES = 2048, 1 << 16
 
 
 def _offsets(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
@@ -38,16 +38,23 @@ def proportional_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id",
     )
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), "text_crc32", "size"))
     base = base.withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
+    base = base.groupBy("id", "stratum", "size", "text_crc32", "h").agg(F.count("*").alias("n"))
     base = cut(base.withColumn("u", F.col("h") / F.lit(float(1 << 52))), "shard-rows")
-    total = base.count()
+    total = base.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, total // BUCKET_ROWS)
     rows = base.withColumn("b", F.floor(F.col("u") * buckets))
-    sizes = base.groupBy("stratum").agg(F.count("*").alias("rows"))
-    first = _offsets(rows.groupBy("stratum", "b").agg(F.count("*").alias("n")), ["stratum"], "b").join(sizes.withColumnRenamed("stratum", "s2"), F.col("stratum").eqNullSafe(F.col("s2"))).drop("s2", "n")
+    sizes = base.groupBy("stratum").agg(F.sum("n").alias("rows"))
+    first = _offsets(rows.groupBy("stratum", "b").agg(F.sum("n").alias("n")), ["stratum"], "b").join(sizes.withColumnRenamed("stratum", "s2"), F.col("stratum").eqNullSafe(F.col("s2"))).drop("s2", "n")
     first = first.withColumnsRenamed({"stratum": "s1", "b": "b1"})
-    inside = Window.partitionBy("stratum", "b").orderBy("u", "h", "id", "text_crc32", "size")
-    ranked = rows.withColumn("inside", F.row_number().over(inside)).join(first, F.col("stratum").eqNullSafe(F.col("s1")) & (F.col("b") == F.col("b1")))
-    frac = (2 * (F.col("before") + F.col("inside")) - 1) / (2.0 * F.col("rows"))
+    inside = Window.partitionBy("stratum", "b").orderBy("u", "h", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(first, F.col("stratum").eqNullSafe(F.col("s1")) & (F.col("b") == F.col("b1")))
+    ranked = ranked.select("id", "stratum", "size", "text_crc32", "h", "n", (F.col("before") + F.col("inside")).alias("at"), "rows")
+    # The copies of a row that has very many are written out by several tasks.
+    many = ranked.filter(F.col("n") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    many = many.repartition(docs.sparkSession.sparkContext.defaultParallelism).withColumns({"at": F.col("at") + F.col("part") * COPIES, "n": F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES)}).drop("part")
+    ranked = ranked.filter(F.col("n") <= COPIES).unionByName(many)
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    frac = (2 * (F.col("at") + F.col("copy")) + 1) / (2.0 * F.col("rows"))
     ranked = ranked.select("id", "stratum", "size", "text_crc32", "h", frac.alias("frac"))
     ranked = cut(ranked.withColumn("b", F.least(F.floor(F.col("frac") * buckets), F.lit(buckets - 1))), "shard-ranks")
     second = _offsets(ranked.groupBy("b").agg(F.count("*").alias("n")), [], "b").select("b", "before")

@@ -59,6 +59,17 @@ def test_equals_one_big_sort(spark, monkeypatch):
     assert {r["doc_id"]: r["shard"] for r in m.proportional_shards(df, 6).collect()} == want
 
 
+@pytest.mark.parametrize("copies", [7, 1 << 16])
+def test_very_many_equal_rows(spark, monkeypatch, copies):
+    """Rows with null id and no text beside others, of one source and of several: laws hold, and no bucket numbers more than its distinct rows."""
+    monkeypatch.setattr(m, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(m, "COPIES", copies)
+    rows = [(None, None, "en", "hot", 0)] * 3000 + [(None, None, "en", None, 0)] * 500 + [(i, f"t{i}", "en", "hot" if i % 2 else None, 0) for i in range(500)] + [(7, "same", "en", "s", 0)] * 40
+    got = m.proportional_shards(spark.createDataFrame(rows, SCHEMA), 24).collect()
+    check(rows, got, 24)
+    assert len({r["frac"] for r in got if r["source"] == "hot"}) == 3250
+
+
 def test_odd_rows(odd, clashing):
     rows = [tuple(r) for r in odd.collect()]
     check(rows, m.proportional_shards(odd, 5).collect(), 5)
