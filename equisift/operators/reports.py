@@ -54,3 +54,9 @@ def as_text(metrics: DataFrame) -> DataFrame:
     lines = [F.concat(F.upper("method"), F.lit(" RESULTS"))]
     lines += [F.concat(F.lit(f"  {names.get(c, c)}: "), F.format_string("%.4f", F.col(c))) for c in ALL]
     return metrics.select("method", F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+def print_report(metrics: DataFrame) -> None:
+    """The report of each method on the console: some lines for each, however many rows were predicted."""
+    for r in as_text(metrics).orderBy("method", "line_no").collect():
+        print(r["line"])

@@ -567,3 +567,10 @@ def test_score_extremes(spark):
     for r in reports.score_extremes(spark.createDataFrame(rows, "sg string, score double")).orderBy("rank").collect():
         got.setdefault((r["sg"], r["kind"]), []).append(r["score"])
     assert got == {("a", "top"): [0.9, 0.5, 0.5], ("a", "bottom"): [0.1, 0.5, 0.5], ("b", "top"): [2.0, 1.0], ("b", "bottom"): [1.0, 2.0]}
+
+
+def test_report_on_the_console(spark, capsys):
+    pred = spark.createDataFrame([("b", 1, 0, 1), ("a", 1, 0, 0)], "method string, y int, z int, yhat int")
+    reports.print_report(metrics.evaluate(pred, ["method"]))
+    said = capsys.readouterr().out.splitlines()
+    assert said[0] == "A RESULTS" and said[1] == "  Accuracy: 0.0000" and said[15] == "B RESULTS" and said[16] == "  Accuracy: 1.0000" and len(said) == 30
