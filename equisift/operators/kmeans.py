@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rng import uniform, uniform_value
@@ -82,7 +83,7 @@ def _raced(rows: DataFrame, seed: int, tags: list[tuple[str, str]], take: int, c
         best: dict = {}
         for batch in batches:
             ids, u = batch.column("row_id"), batch.column("u").flatten().to_numpy().reshape(batch.num_rows, -1)
-            names = list(centres) if centres is not None else [x for x in pa.compute.unique(batch.column("sg")).to_pylist() if x is not None]
+            names = list(centres) if centres is not None else [x for x in pc.unique(batch.column("sg")).to_pylist() if x is not None]
             for name, at, v in _cells(batch, names):
                 own = ids.take(pa.array(at)).to_pylist()
                 for s in range(len(tags)):
