@@ -1,16 +1,20 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and benchmark items are normalised (lower case; every run of characters that are no letters, digits or underscores is one space), and have a space at
-both ends, so that words count as wholes. An item with an error budget of e edits is split into e + 1 pieces: a passage within e edits holds at least one piece unchanged.
+both ends, so that words count as wholes. An item with an error budget of e edits is split into e + 1 pieces: a passage within e edits holds at least one piece unchanged. Cuts are even, unless a piece
+would be one that many items share (a template): then pieces of one size, each disjoint from the others, are laid where the benchmark's grams are rarest. The rule holds for any e + 1 disjoint pieces, so
+that changes which places are looked at and no result.
 
 The benchmark stays a table. Its pieces' hashes make a Bloom filter of bounded size, which is all that is sent to the tasks; one scan of the texts looks all windows of the pieces'
-lengths up in it and keeps the few hits; these are joined with the table of pieces, which places items in texts; and Myers' bit-parallel distance decides about each place.
+lengths up in it and keeps the few hits; these are joined with the table of pieces, which places items in texts; and Myers' bit-parallel distance decides about each place
+at which at most e of the item's disjoint three-character parts are missing (each missing part takes an edit).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ CHARS_PER_EDIT = 16
 BITS_PER_PIECE, FILTER_BITS, FILTER_PARTS, PROBES = 24, 30, 64, 6
 #: Characters of texts that are hashed at once; items of which a text meets about so many in one row; text hashes that are broadcast at most.
 SLICE, ITEMS_PER_ROW, BROADCAST_ROWS = 1 << 19, 4096, 1 << 20
+#: Characters of the grams whose number of items tells rare places of the benchmark from common ones; buckets of that count (2**COUNT_BITS longs come to the driver at most).
+GRAM, COUNT_BITS = 8, 20
+#: Characters of the parts of an item of which no more than its edits may be missing.
+PART = 3
 _GAP = re.compile(r"\W+")
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -43,6 +51,60 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+def _packed(allowed: np.ndarray, size: int, most: int) -> list[int]:
+    """Starts, of those allowed (ascending), of at most `most` disjoint windows: the leftmost choice, which has as many as there can be."""
+    found: list[int] = []
+    at = 0
+    while len(found) < most and at < len(allowed):
+        found.append(int(allowed[at]))
+        at = int(np.searchsorted(allowed, found[-1] + size))
+    return found
+
+
+def rare_pieces(item: str, edits: int, counts: np.ndarray) -> list[tuple[int, str]]:
+    """edits + 1 disjoint pieces, as pieces() has them unless one of those is common. counts: of each gram of the item, in how many items it is; a piece is as common as the rarest of its grams.
+
+    Of sizes from the even one down to GRAM, that counts whose most common piece is rarest; a smaller size must halve it, as short pieces are found in more texts.
+    """
+    even = pieces(item, edits)
+    widest = len(item) // (edits + 1)
+    if not edits or widest <= GRAM:
+        return even
+    least = max(int(counts[a : a + len(x) - GRAM + 1].min()) for a, x in even)
+    for size in sorted({widest, (widest + GRAM) // 2, GRAM}, reverse=True):
+        if least <= 1:
+            break
+        worth = np.lib.stride_tricks.sliding_window_view(counts, size - GRAM + 1).min(axis=1)
+        levels = np.unique(worth)
+        low, high = 0, len(levels) - 1  # the highest level admits all starts, so it has room for all pieces
+        while low < high:
+            mid = (low + high) // 2
+            if len(_packed(np.flatnonzero(worth <= levels[mid]), size, edits + 1)) > edits:
+                high = mid
+            else:
+                low = mid + 1
+        if 2 * int(levels[low]) <= least:
+            least = int(levels[low])
+            even = [(a, item[a : a + size]) for a in _packed(np.flatnonzero(worth <= levels[low]), size, edits + 1)]
+    return even
+
+
+@lru_cache(1 << 14)
+def _parts(pattern: str) -> list[str]:
+    return [pattern[i : i + PART] for i in range(0, len(pattern) - PART + 1, PART)]
+
+
+def _hopeless(pattern: str, region: str, edits: int) -> bool:
+    """Whether more than `edits` disjoint parts of pattern are nowhere in region."""
+    left = edits
+    for part in _parts(pattern):
+        if part not in region:
+            if not left:
+                return True
+            left -= 1
+    return False
+
+
 def peq(pattern: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -104,6 +166,12 @@ def _slots(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
         return (mix(h + np.uint64((probe * _BASE) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _buckets(text: str) -> np.ndarray:
+    """The bucket of each gram of a text."""
+    hashes = WindowHashes(len(text))
+    return (hashes.of(hashes.sums(text), GRAM) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
 def _items(bench: DataFrame, id_col: str, text_col: str, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
     """(ik, item, norm) of the items that have words, and their pieces (key, ik, at, size)."""
     rows = bench.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
@@ -117,11 +185,22 @@ def _items(bench: DataFrame, id_col: str, text_col: str, chars_per_edit: int) ->
 
     items = cut(rows.transform(in_arrow, clean, f"item {kind}, norm string").withColumn("ik", F.monotonically_increasing_id()), "leak-items")
 
+    def grams(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.concatenate([np.empty(0, np.int64), *(np.unique(_buckets(f" {t} ")) for t in batch.column("norm").to_pylist())]), pa.int64())})
+
+    # Items that share a bucket: a row for each bucket at most. It only guides the cuts, so buckets may stand for several grams.
+    shared = items.select("norm").transform(in_arrow, grams, "bucket bigint").groupBy("bucket").count().filter("count > 1").toArrow()
+    counts = np.ones(1 << COUNT_BITS, np.int64)
+    counts[shared.column("bucket").to_numpy()] = shared.column("count").to_numpy()
+    shared_counts = bench.sparkSession.sparkContext.broadcast(counts)
+
     def split(batches):
         for batch in batches:
             out = []
             for ik, norm in zip(batch.column("ik").to_pylist(), batch.column("norm").to_pylist()):
-                for at, piece in pieces(f" {norm} ", budget(norm, chars_per_edit)):
+                text = f" {norm} "
+                for at, piece in rare_pieces(text, budget(norm, chars_per_edit), shared_counts.value[_buckets(text)]):
                     hashes = WindowHashes(len(piece))
                     out.append((int(hashes.of(hashes.sums(piece), len(piece)).view(np.int64)[0]), ik, at, len(piece)))
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("key", "ik", "at", "size"), zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
@@ -221,7 +300,7 @@ def _hits(rows: DataFrame, sizes: list[int], bloom) -> DataFrame:
 def spans(text: str, norm: str, starts: list[int], edits: int) -> list[tuple[int, int, int]]:
     """(start, end, distance) in the normalised text of an item's places; starts: where the item with its spaces may begin in the text with its spaces."""
     pattern = f" {norm} "
-    bits, m, done, found = peq(pattern), len(pattern), -1, []
+    bits, m, done, found = None, len(pattern), -1, []
     for start in sorted(starts):
         if start + m <= done:  # inside what has been matched
             continue
@@ -229,7 +308,11 @@ def spans(text: str, norm: str, starts: list[int], edits: int) -> list[tuple[int
             end, d = start + m, 0
         else:
             low = max(0, start - edits)
-            hit = myers_end(pattern, text[low : start + m + edits], edits, bits)
+            region = text[low : start + m + edits]
+            if _hopeless(pattern, region, edits):
+                continue
+            bits = bits or peq(pattern)
+            hit = myers_end(pattern, region, edits, bits)
             if not hit:
                 continue
             d, end = hit[0], low + hit[1]

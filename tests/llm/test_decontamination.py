@@ -70,6 +70,65 @@ def test_small_slices_rows_and_filter(spark, monkeypatch):
     assert rows_of(m.drop_contaminated(df, bench), "doc_id") == sorted(((d,) for d, x in brute(docs, items) if not x), key=repr)
 
 
+def templated(seed, items, texts, own=60):
+    """Items that share a sentence; texts that hold it, every fourth with a whole item, slightly changed."""
+    w = Words(seed)
+    head = "read the passage below with care and choose the best answer to the question that follows it"
+    bench = [(i, f"{head}: {w.text(own // 6 + 2, 99)[:own]}") for i in range(items)]
+    docs = []
+    for i in range(texts):
+        item = bench[i % items][1].replace("best", "bst") if i % 4 == 0 else head
+        docs.append((i, f"{w.text(20)} {item} {w.text(20)}", None, None, None))
+    return docs, bench
+
+
+def test_templates_equal_brute_force(spark):
+    """With room for all pieces beside the template, and without."""
+    for own in (90, 24):
+        docs, items = templated(7, 12, 24, own)
+        df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+        want = brute(docs, items)
+        assert sum(bool(x) for _, x in want) >= 6
+        assert rows_of(m.by_document(m.decontaminate(df, bench)), "doc_id", "items") == sorted(want, key=repr)
+
+
+def test_templates_place_few_items(spark):
+    """A text that holds the template alone meets no item; before, it met them all."""
+    docs, items = templated(8, 400, 400, 120)
+    norm = {i: f" {m.normalise(t)} " for i, t in items}
+    _, found = m._items(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", m.CHARS_PER_EDIT)
+    most = max(r["n"] for r in found.groupBy("key").agg(m.F.countDistinct("ik").alias("n")).collect())
+    assert most < 40
+    per_item = {r["ik"]: r["n"] for r in found.groupBy("ik").agg(m.F.count("*").alias("n")).collect()}
+    assert sorted(per_item.values()) == sorted(m.budget(t.strip()) + 1 for t in norm.values())
+
+
+def test_rare_pieces_are_disjoint_and_enough():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(300):
+        item = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 300)))
+        edits = len(item) // 16
+        counts = np.array([rng.choice((1, 1, 2, 50)) if rng.random() < 0.3 else rng.choice((1, 90)) for _ in range(max(0, len(item) - m.GRAM + 1))], np.int64)
+        got = m.rare_pieces(item, edits, counts)
+        assert len(got) == edits + 1 and all(item.startswith(x, a) and x for a, x in got)
+        assert all(a + len(x) <= b for (a, x), (b, _) in zip(got, got[1:]))
+
+
+def test_missing_parts_never_hide_a_match():
+    rng = random.Random(6)
+    for _ in range(500):
+        p = "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 80)))
+        t = list(p)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        t = "".join(t)
+        d = distance(p, t)
+        assert not m._hopeless(p, t, d)
+
+
 def test_words_are_whole_and_ids_of_any_type(spark):
     docs = [("a", "Other words, breathe"), ("b", "over THE hill"), ("c", "the"), ("d", None), ("b", "again (the) end"), (None, "clothe the")]
     df, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([("i", "the"), ("j", "hill!"), ("i", "THE")], "item_id string, text string")
