@@ -55,14 +55,14 @@ def roles(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min
     """Adds record_type, payload_digest, refers_to: of equal payloads of at least min_bytes the greatest id is the response, others (null ids too) revisit it.
 
     Only (id, digests) are grouped, with a pre-aggregated maximum. Payloads that several rows have are then joined under SALTS keys each, so that rows of a payload that many pages share
-    go to as many tasks. Columns named record_type or refers_to are replaced; others may have any names.
+    go to as many tasks; the salt is of id and partition, so null ids spread too. Columns named record_type or refers_to are replaced; others may have any names.
     """
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     names = [c for c in pages.columns if c not in ("record_type", "refers_to")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.sha2(payload, 256).alias("key"), F.octet_length(payload).alias("n"))
     best = rows.filter(F.col("n") >= min_bytes).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     best = best.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(best, ["key", "salt"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.hash("id", F.spark_partition_id()), F.lit(SALTS))).join(best, ["key", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
