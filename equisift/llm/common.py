@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MASK = (1 << 64) - 1
-#: Of a labelled sample's bytes for a class, one text has at most one part of so many.
-LARGEST = 32
+#: Of a labelled sample's bytes for a class, one text has at most one part of so many; a longer text counts with so many blocks spread over the whole of it.
+LARGEST, BLOCKS = 32, 16
 #: Bytes of rows that a Python worker gets at once unless the session says otherwise; else 10,000 texts of any length are one batch.
 ARROW_BATCH = 8 << 20
 
@@ -100,8 +100,8 @@ def id_crc32(col: str | Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, budget: int, seed: int) -> list:
     """(text, label) of at most `rows` labelled rows of each class 0 and 1 that `keep` admits, in all at most about
     `budget` bytes of text, in an order set by a hash of the id. The bound holds at every input size: the ids are
-    limited first, so what is broadcast and collected has at most 2 * rows rows. A text counts with its first 1 / LARGEST of its
-    class's bytes, so that a few very long texts don't end a class.
+    limited first, so what is broadcast and collected has at most 2 * rows rows. A text of more than 1 / LARGEST of its
+    class's bytes counts with BLOCKS blocks of it, evenly from its first to its last character, so that a few very long texts don't end a class.
     """
     from pyspark.sql import Window
 
@@ -114,8 +114,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     share = budget // 2 // LARGEST
-    start = F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, share).cast("string"))
-    found = found.withColumn("text", F.when(F.octet_length("text") > share, start).otherwise(F.col("text")))
+    points = F.length("text")
+    each = F.floor(points * (share - BLOCKS) / F.octet_length("text") / BLOCKS).cast("int")
+    blocks = F.concat_ws("\n", *[F.col("text").substr(F.floor((points - each) * i / (BLOCKS - 1)).cast("int") + 1, each) for i in range(BLOCKS)])
+    found = found.withColumn("text", F.when(F.octet_length("text") > share, blocks).otherwise(F.col("text")))
     order = Window.partitionBy("y").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= budget // 2)
     got = sorted(found.select("h", "doc_id", "text", "y").collect())

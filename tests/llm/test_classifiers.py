@@ -207,3 +207,9 @@ def test_a_very_long_text_does_not_end_the_sample(spark):
     for y in (0, 1):
         own = [t for t, label in got if label == y]
         assert len(own) >= 30 and sum(len(t.encode()) for t in own) <= 16_000 and any(t.startswith("é") for t in own) and any(t.startswith("short") for t in own)
+
+
+def test_a_very_long_text_counts_from_end_to_end(spark):
+    docs = spark.createDataFrame([(0, "a" * 50_000 + "b" * 50_000 + "c" * 50_000)], "doc_id long, text string")
+    (text, _), = labelled_sample(docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int"), "quality", F.lit(True), 10, 320_000, 1)
+    assert 4_800 < len(text) <= 5_000 and text[0] == "a" and text[-1] == "c" and abs(text.count("b") * 3 - len(text)) < len(text) / 4
