@@ -30,13 +30,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # One key of id and text for the join and the window, so that the rows, with their texts, are shuffled once.
+    def key(doc_id, sha):
+        return F.concat(sha, F.when(doc_id.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), doc_id.cast("string"))))
+
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     # The row goes along as one column, so that its names meet no others.
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("own_sha"), F.length("text").alias("points"))
-    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), key(F.col("doc_id"), F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("key"), F.length("text").alias("points"))
+    rows = rows.join(kept, "key", "left_semi")
     # Wholly repeated rows are copies too.
-    one = Window.partitionBy("own_id", "own_sha").orderBy(F.col("points").desc())
-    return rows.withColumn("place", F.row_number().over(one)).filter("place = 1").select("row.*")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.col("points").desc()))).filter("place = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
