@@ -30,6 +30,8 @@ BITS_PER_PIECE, FILTER_BITS, FILTER_PARTS, PROBES = 24, 30, 64, 6
 SLICE, ITEMS_PER_ROW, BROADCAST_ROWS = 1 << 19, 4096, 1 << 20
 #: Characters of the grams whose number of items tells rare places of the benchmark from common ones; buckets of that count (2**COUNT_BITS longs come to the driver at most).
 GRAM, COUNT_BITS = 8, 20
+#: Pieces become shorter than even ones only where more items than this share one, as short pieces are found in more texts.
+COMMON = 16
 #: Characters of the parts of an item of which no more than its edits may be missing.
 PART = 3
 _GAP = re.compile(r"\W+")
@@ -64,7 +66,7 @@ def _packed(allowed: np.ndarray, size: int, most: int) -> list[int]:
 def rare_pieces(item: str, edits: int, counts: np.ndarray) -> list[tuple[int, str]]:
     """edits + 1 disjoint pieces, as pieces() has them unless one of those is common. counts: of each gram of the item, in how many items it is; a piece is as common as the rarest of its grams.
 
-    Of sizes from the even one down to GRAM, that counts whose most common piece is rarest; a smaller size must halve it, as short pieces are found in more texts.
+    Of sizes from the even one down to GRAM, that counts whose most common piece is rarest; each change must halve it, and sizes below the even one are tried only while more than COMMON items share a piece.
     """
     even = pieces(item, edits)
     widest = len(item) // (edits + 1)
@@ -72,7 +74,7 @@ def rare_pieces(item: str, edits: int, counts: np.ndarray) -> list[tuple[int, st
         return even
     least = max(int(counts[a : a + len(x) - GRAM + 1].min()) for a, x in even)
     for size in sorted({widest, (widest + GRAM) // 2, GRAM}, reverse=True):
-        if least <= 1:
+        if least <= (1 if size == widest else COMMON):
             break
         worth = np.lib.stride_tricks.sliding_window_view(counts, size - GRAM + 1).min(axis=1)
         levels = np.unique(worth)
