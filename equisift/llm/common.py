@@ -40,14 +40,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/equisift/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a query when it has ended, instead of when the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str, large: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and every executor can read it. large: its plan shuffled much of the input, so those files should go at once."""
+    """Write df to the shared folder and read it back: lineage ends there, and every executor can read it. large: its plan shuffled much of the input, so those files go as soon as the table is written; the session's own setting is put back."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    if large:  # else Spark's cleaner deletes them when the driver happens to collect its garbage
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(FILE_CLEANUP)
+    if large:
+        spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if large:
+            spark.conf.set(FILE_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._equisift_path = path
     return back

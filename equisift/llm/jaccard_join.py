@@ -250,6 +250,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # A token's least and greatest class are pre-aggregated, then, of tokens with several classes, the hub; both sides of each join are tables, so that Spark can split a token that many classes have.
     own = cut(_prefixes(rows, levels, clashes, k, percent), "jaccard-prefixes")
+    levels.destroy()  # a lost executor reads the table, not the levels
     tokens = cut(own.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token"), "jaccard-tokens", large=True)
     shared = cut(own.join(tokens, "token", "left_semi").dropDuplicates(["token", "cls"]), "jaccard-shared", large=True)
     forget(own, tokens)
@@ -267,12 +268,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The matrix: tokens that two groups at least have.
     matrix = shared.select("token", "cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("label", "cls")).drop("label")
     every = cut(matrix, "jaccard-named", large=True)
+    forget(shared)
     both = cut(every.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token"), "jaccard-tokens")
     matrix = cut(every.join(both, "token", "left_semi"), "jaccard-matrix", large=True)
     forget(every, both)
     # Of two groups the smaller one's classes are queries to the larger one's union, so a family is met as one.
     sizes = matrix.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("weight"))
     weighed = cut(matrix.join(sizes, "grp"), "jaccard-weighed", large=True)
+    forget(matrix)
     union = weighed.select("token", F.col("grp").alias("to"), "low", "high", "weight").distinct()
     near = f"{percent} * q.n <= 100 * u.high and {percent} * u.low <= 100 * q.n"
     counted = weighed.alias("q").join(union.alias("u"), F.expr(f"q.token = u.token and struct(q.weight, q.grp) < struct(u.weight, u.to) and {near}")).groupBy("q.cls", "q.n", "u.to", "u.low", "u.high").agg(F.count("*").alias("c"))
@@ -280,12 +283,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = groups.groupBy(F.col("label").alias("to")).agg(F.count("*").alias("members"))
     inside = weighed.join(open_.join(sized, "to", "left"), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("to").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     inside = cut(inside, "jaccard-open", large=True)
-    small = inside.filter(F.col("members") <= LARGE).join(matrix.select("token", "grp", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "grp"])
+    small = inside.filter(F.col("members") <= LARGE).join(weighed.select("token", "grp", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "grp"])
     small = small.filter(f"{percent} * na <= 100 * nb and {percent} * nb <= 100 * na").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     small = small.filter(F.expr(f"c >= {_needed('na', 'nb', percent)}")).select("a", "b")
     pairs = small.unionByName(_open_large(inside.filter(F.col("members") > LARGE), weighed, percent))
     tried = star.select("a", "b").union(star.select("b", "a"))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", large=True)
+    forget(weighed, inside)
     more = _verify(pairs, rows, first, clashes, k, percent)
 
     # Components of groups, then the least id of each.
@@ -300,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(named, F.col("cls") == F.col("c2"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = cut(out, "jaccard-result")
-    forget(found, shared, star, links, groups, matrix, weighed, inside, pairs, more, joined)
+    forget(found, star, links, groups, pairs, more, joined)
     return out
 
 
