@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +24,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Combinations that are mined at most: where there are more, the least support is doubled until there are not.
+#: Where FP-growth makes more combinations than these, rules are searched for level by level instead (telling_sets); and so many are what a rule's bound counts as tried at most.
 MOST_SETS = 1 << 20
 
 
@@ -87,15 +88,50 @@ def evidence(confidence: Column, urls: Column, share: Column, tried: int) -> Col
     return F.ln(low / (1 - low)) - F.ln(share / (1 - share))
 
 
+def all_sets(train: DataFrame, min_support: float, most_sets: int | None) -> DataFrame | None:
+    """FP-growth's (items, freq), or None where there are more than most_sets."""
+    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(train).freqItemsets
+    # FP-growth makes sets as they are asked for, so the count ends soon where there are very many.
+    return cut(found, "url-sets") if most_sets is None or found.select(F.lit(1)).limit(most_sets + 1).count() <= most_sets else None
+
+
 def frequent_sets(train: DataFrame, min_support: float, most_sets: int) -> tuple[DataFrame, float]:
-    """FP-growth's (items, freq) at min_support, or at the least of its doubles at which there are at most most_sets; and that support. All items of all rows take part."""
+    """FP-growth's (items, freq) at min_support, or at the least of its doubles at which there are at most most_sets; and that support. All items of all rows take part. mine_rules does not use it: it drops no set."""
     support = min_support
-    while True:
-        found = FPGrowth(itemsCol="items", minSupport=support).fit(train).freqItemsets
-        # FP-growth makes sets as they are asked for, so the count ends soon where there are very many.
-        if support >= 1 or found.select(F.lit(1)).limit(most_sets + 1).count() <= most_sets:
-            return cut(found, "url-sets"), support
+    while (found := all_sets(train, support, most_sets if support < 1 else None)) is None:
         support = min(1.0, 2 * support)
+    return found, support
+
+
+def telling_sets(baskets: DataFrame, least: dict[str, int]) -> DataFrame:
+    """baskets: (reps, verdict, n), reps sorted. (antecedent, label, freq, urls): what mine_rules can make rules of, however many sets are frequent.
+
+    Level by level, a set is taken if it has `least` urls of some verdict and each set of all but one of its tokens was taken, is on more urls and has more than one verdict.
+    No rule is lost: least is what a rule has to have; a set on just the urls of a smaller one has that one's confidence and score; and beyond a set with one verdict the confidence
+    stays 1 and only the support falls. mine_rules would drop all these for the smaller rule.
+    """
+    enough = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    hits, smaller, taken = baskets.select(F.array().cast("array<string>").alias("set"), F.col("reps").alias("rest"), "verdict", "n"), None, []
+    while True:
+        more = hits.select("set", "rest", "verdict", "n", F.posexplode("rest").alias("at", "x"))
+        more = more.select(F.array_append("set", F.col("x")).alias("set"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "verdict", "n")
+        each = more.groupBy("set", "verdict").agg(F.sum("n").alias("freq"))
+        level = each.groupBy("set").agg(F.sum("freq").alias("urls"), F.max("freq").alias("most"), F.max(F.col("freq") >= enough[F.col("verdict")]).alias("told"), F.collect_list(F.struct("verdict", "freq")).alias("freqs")).filter("told")
+        if smaller is not None:
+            parts = level.select("set", F.col("urls").alias("own"), F.explode("set").alias("x")).select("set", "own", F.array_remove("set", F.col("x")).alias("part"))
+            free = parts.join(smaller.select(F.col("set").alias("part"), "urls"), "part").groupBy("set").agg(F.count("*").alias("n"), F.min(F.col("urls") > F.col("own")).alias("free"))
+            level = level.join(free.filter(F.col("free") & (F.col("n") == F.size("set"))).select("set"), "set")
+        level = cut(level, "url-level")
+        taken.append(level)
+        smaller = level.filter("most < urls")
+        before, hits = hits, cut(more.filter(F.size("rest") > 0).join(smaller.select("set"), "set"), "url-hits")
+        forget(before)
+        if hits.isEmpty():
+            forget(hits)
+            break
+    found = cut(reduce(DataFrame.unionByName, taken).select(F.col("set").alias("antecedent"), "urls", F.explode("freqs").alias("of")).select("antecedent", F.concat(F.lit("label:"), "of.verdict").alias("label"), "of.freq", "urls"), "url-sets")
+    forget(*taken)
+    return found
 
 
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, most_sets: int = MOST_SETS) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +140,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
 
     score: the log of the verdict's share of labels plus the rule's evidence, so that rules for any verdicts compare; one that no more than makes up for another verdict's greater share is no rule.
 
-    A labelled url is mined by all its tokens, and rules have any number of them. Where that makes more than most_sets combinations, only better supported ones are mined (frequent_sets).
+    A labelled url is mined by all its tokens, and rules have any number of them. Where that makes more than most_sets combinations, the same rules are found without making all of them (telling_sets).
     """
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "rule_id string, antecedent array<string>, verdict string, confidence double, support double, score double"), spark.createDataFrame([], "token string, rep string")
@@ -118,17 +154,28 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     parts = short.withColumn("part", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / 1024).cast("int")))).repartition(spark.sparkContext.defaultParallelism)
     train = parts.select(F.array_append("reps", F.concat(F.lit("label:"), "verdict")).alias("items"), F.explode(F.sequence(F.lit(1), F.least(F.lit(1024), F.col("n") - 1024 * F.col("part")).cast("int"))).alias("x")).select("items")
     train = cut(train, "url-train")
-    found, _ = frequent_sets(train, min_support, most_sets)
+    found = all_sets(train, min_support, most_sets)
+    tried = most_sets if found is None else found.count()
     is_label = lambda x: x.startswith("label:")
     shares = {r["verdict"]: r["n"] / total for r in counts.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     # A row for each verdict. One that all labels have needs no rule.
-    labels = [(f"label:{v}", s, math.log(max(x for u, x in shares.items() if u != v))) for v, s in shares.items() if len(shares) > 1]
-    labels = spark.createDataFrame(labels, "label string, share double, against double")
-    plain = found.filter(~F.exists("items", is_label)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("urls"))
-    both = found.filter((F.size("items") > 1) & F.exists("items", is_label))
-    both = both.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("antecedent"), F.get(F.filter("items", is_label), F.lit(0)).alias("label"), "freq")
-    rules = both.join(plain, "antecedent").join(F.broadcast(labels), "label").withColumn("confidence", F.col("freq") / F.col("urls"))
-    rules = rules.withColumn("score", F.round(F.ln("share") + evidence(F.col("confidence"), F.col("urls"), F.col("share"), found.count()), 9)).filter((F.col("confidence") >= min_confidence) & (F.col("score") > F.greatest(F.ln("share"), F.col("against"))))
+    labels = [(v, s, math.log(max(x for u, x in shares.items() if u != v))) for v, s in shares.items() if len(shares) > 1]
+    if not labels:
+        forget(counts, train, *([] if found is None else [found]))
+        return none[0], classes
+    if found is None:
+        # Of all rules with so many urls of their verdict the one that has no others scores best: ln(urls / z2) + ln(1 - share) is to be greater than ln(share) and against.
+        z2, few = 2 * math.log(max(tried, 2)), math.ceil(min_support * total)
+        least = {v: max(few, math.floor(z2 * max(s, math.exp(against)) / (1 - s) * (1 - 1e-6))) for v, s, against in labels}
+        found = telling_sets(short.groupBy("reps", "verdict").agg(F.sum("n").alias("n")), least)
+        both = found.filter(F.col("freq") >= few)
+    else:
+        plain = found.filter(~F.exists("items", is_label)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("urls"))
+        both = found.filter((F.size("items") > 1) & F.exists("items", is_label))
+        both = both.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("antecedent"), F.get(F.filter("items", is_label), F.lit(0)).alias("label"), "freq").join(plain, "antecedent")
+    labels = spark.createDataFrame([(f"label:{v}", s, against) for v, s, against in labels], "label string, share double, against double")
+    rules = both.join(F.broadcast(labels), "label").withColumn("confidence", F.col("freq") / F.col("urls"))
+    rules = rules.withColumn("score", F.round(F.ln("share") + evidence(F.col("confidence"), F.col("urls"), F.col("share"), tried), 9)).filter((F.col("confidence") >= min_confidence) & (F.col("score") > F.greatest(F.ln("share"), F.col("against"))))
     rules = rules.select("antecedent", F.substring("label", 7, 99).alias("verdict"), "confidence", (F.col("freq") / total).alias("support"), "score")
     less = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("c2"))
     parts = rules.filter(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("x")).withColumn("part", F.array_remove("antecedent", F.col("x")))
