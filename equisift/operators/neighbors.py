@@ -18,6 +18,9 @@ QUERY_BLOCK, POOL_BLOCK, DIGITS = 2048, 8192, 9
 MOST_PIVOTS = 4096
 #: Distances are compared with this to spare, for similarities are rounded.
 SLACK = 1e-4
+#: Similarities or distances that a worker holds at once (8 bytes each), and those that a task works out in all; what makes more is dealt to more tasks. So are rows that move.
+CELLS, TASK_CELLS = 1 << 19, 1 << 30
+TASK_ROWS = 1 << 17
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -31,17 +34,24 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def _in_arrow(rows: DataFrame, add, fields: str) -> DataFrame:
-    """rows with columns made of the unit vectors of a batch; add gives their arrays."""
+def _in_arrow(rows: DataFrame, add, fields: str, points: int) -> DataFrame:
+    """rows with columns made of the unit vectors of a few rows, `points` of which meet as many pivots; add gives their arrays. A batch is taken in parts of at most CELLS distances."""
+    most = max(1, CELLS // max(points, 1))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *add(batch, _units(batch.column("v")))], [*batch.schema.names, *(f.split()[0] for f in fields.split(", "))])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", " + fields)
 
 
+def _dealt(rows: DataFrame, cells: int, *by: str, moved: int = 0) -> DataFrame:
+    """rows by a hash of `by` in as many tasks as so many distances, or moved rows, need. The few bytes of a vector say nothing of its work, so neither the files nor the sizes of a shuffle can decide that."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS), -(-moved // TASK_ROWS)), *by)
+
+
 def _meetings(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """(q_id, p_id, sim): of each block the k best rows for each query that reach its `least`."""
     names, kinds = ["q_id", "p_id", "sim"], [pa.int64(), pa.int64(), pa.float64()]
@@ -52,7 +62,7 @@ def _meetings(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) ->
             a, b = a.combine_chunks(), b.sort_by("id").combine_chunks()
             own, ids, least = (x.to_numpy() for x in (a.column("id"), b.column("id"), a.column("least")))
             qs, units = (_units(x.column("v").combine_chunks()) for x in (a, b))
-            for part in np.array_split(np.arange(len(own)), -(-len(own) // 256)):
+            for part in np.array_split(np.arange(len(own)), -(-len(own) * len(ids) // CELLS)):
                 sim = np.round(qs[part] @ units.T, DIGITS) + 0.0
                 if exclude_self:
                     sim[own[part][:, None] == ids[None, :]] = -np.inf
@@ -91,10 +101,12 @@ def nearest(
         placed, reached = p.withColumn("pivot", F.lit(0)), q.withColumns({"least": F.lit(float("-inf")), "pivots": F.array(F.lit(0))})
         sizes, wanted = {0: (n, 0.0, 0.0)}, {0: nq}
     else:
-        placed, reached, sizes, wanted = _pruned(q, p, k, m, exclude_self, pool_block, query_block, number)
+        placed, reached, sizes, wanted = _pruned(q, p, nq, n, k, m, exclude_self, pool_block, query_block, number)
+    pairs = sum(sizes[x][0] * c for x, c in wanted.items())
     if report is not None:
-        report.update(pairs=sum(sizes[x][0] * c for x, c in wanted.items()), of=n * nq)
-    return _ranked(*_sides(placed, reached, sizes, wanted, pool_block, query_block, number), k, exclude_self)
+        report.update(pairs=pairs, of=n * nq)
+    moved = sum(-(-sizes[x][0] // pool_block) * c + sizes[x][0] * -(-c // query_block) for x, c in wanted.items())
+    return _ranked(*_sides(placed, reached, sizes, wanted, pool_block, query_block, number), k, exclude_self, pairs, moved)
 
 
 def _sides(placed: DataFrame, reached: DataFrame, sizes: dict, wanted: dict, pool_block: int, query_block: int, number) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +120,13 @@ def _sides(placed: DataFrame, reached: DataFrame, sizes: dict, wanted: dict, poo
     return left, right
 
 
-def _ranked(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _ranked(left: DataFrame, right: DataFrame, k: int, exclude_self: bool, cells: int, moved: int) -> DataFrame:
     order = Window.partitionBy("q_id").orderBy(F.col("sim").desc(), "p_id")
-    return _meetings(left, right, k, exclude_self).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q_id", "rank", "p_id", "sim")
+    by = ("pivot", "part", "block")
+    return _meetings(_dealt(left, cells, *by, moved=moved), _dealt(right, cells, *by, moved=moved), k, exclude_self).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q_id", "rank", "p_id", "sim")
 
 
-def _pruned(q: DataFrame, p: DataFrame, k: int, m: int, exclude_self: bool, pool_block: int, query_block: int, number) -> tuple[DataFrame, DataFrame, dict, dict]:
+def _pruned(q: DataFrame, p: DataFrame, nq: int, n: int, k: int, m: int, exclude_self: bool, pool_block: int, query_block: int, number) -> tuple[DataFrame, DataFrame, dict, dict]:
     """(pool with pivot, queries with least and pivots, by pivot: rows, least and greatest distance; by pivot: queries)."""
     drawn = [r["v"] for r in p.orderBy(F.xxhash64("id"), "id").limit(m).collect()]
     points = _units(pa.array(drawn, pa.list_(pa.float64())))
@@ -122,12 +135,13 @@ def _pruned(q: DataFrame, p: DataFrame, k: int, m: int, exclude_self: bool, pool
     def place(batch, units):
         if not len(points):
             return [pa.array(np.full(len(units), -1, np.int32)), pa.array(np.zeros(len(units)))]
-        apart = _apart(units, points)
-        near = apart.argmin(1)
+        sim = units @ points.T
+        near = sim.argmax(1)
+        away = np.sqrt(np.maximum(2 - 2 * sim[np.arange(len(units)), near], 0))
         zero = ~np.any(units != 0, axis=1)  # on no sphere: kept by themselves, and never left out
-        return [pa.array(np.where(zero, -1, near).astype(np.int32)), pa.array(apart[np.arange(len(units)), near])]
+        return [pa.array(np.where(zero, -1, near).astype(np.int32)), pa.array(away)]
 
-    placed = settle(_in_arrow(p, place, "pivot int, away double"))
+    placed = settle(_in_arrow(_dealt(p, n * len(points), "id"), place, "pivot int, away double", len(points)))
     sizes = {r["pivot"]: (r["n"], r["low"], r["high"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}
     held = np.array(sorted(x for x in sizes if x >= 0), np.int32)
     low, high = (np.array([sizes[x][i] for x in held.tolist()]) for i in (1, 2))
@@ -135,15 +149,17 @@ def _pruned(q: DataFrame, p: DataFrame, k: int, m: int, exclude_self: bool, pool
     def home(batch, units):
         if not len(held):
             return [pa.array(np.full(len(units), -1, np.int32))]
-        return [pa.array(held[_apart(units, points[held]).argmin(1)])]
+        return [pa.array(held[(units @ points[held].T).argmax(1)])]
 
     # One part of its own pivot is enough for a first k-th similarity.
-    first = _in_arrow(q, home, "pivot int").select("id", "v", F.lit(float("-inf")).alias("least"), "pivot", F.lit(0).alias("part"))
+    first = _in_arrow(_dealt(q, nq * len(held), "id"), home, "pivot int", len(held)).select("id", "v", F.lit(float("-inf")).alias("least"), "pivot", F.lit(0).alias("part"))
     homes = {r["pivot"]: r["n"] for r in first.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     table = F.broadcast(p.sparkSession.createDataFrame([(x, -(-sizes[x][0] // pool_block), -(-c // query_block)) for x, c in homes.items()], "pivot int, parts int, blocks int"))
     left = first.join(table, "pivot").select("id", "v", "least", "pivot", "part", number(F.col("blocks")).alias("block"))
     right = placed.join(table, "pivot").withColumn("part", number(F.col("parts"))).filter("part = 0").select("id", "v", "pivot", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    least = _ranked(left, right, k, exclude_self).filter(F.col("rank") == k).select(F.col("q_id").alias("id"), F.col("sim").alias("least"))
+    # A part is some pool_block rows.
+    cells, moved = pool_block * nq, nq + sum(min(pool_block, sizes[x][0]) * -(-c // query_block) for x, c in homes.items())
+    least = _ranked(left, right, k, exclude_self, cells, moved).filter(F.col("rank") == k).select(F.col("q_id").alias("id"), F.col("sim").alias("least"))
 
     def reach(batch, units):
         apart = _apart(units, points[held])
@@ -154,7 +170,7 @@ def _pruned(q: DataFrame, p: DataFrame, k: int, m: int, exclude_self: bool, pool
     extra = np.array([-1] if -1 in sizes else [], np.int32)
     # Queries may repeat an id; one k-th similarity for each id is the least of theirs.
     known = q.join(least.groupBy("id").agg(F.min("least").alias("least")), "id", "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    reached = settle(_in_arrow(known, reach, "pivots array<int>"))
+    reached = settle(_in_arrow(_dealt(known, nq * len(held), "id"), reach, "pivots array<int>", len(held)))
     wanted = {r["pivot"]: r["n"] for r in reached.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     return placed, reached, sizes, wanted
 

@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,28 @@ def test_pivots_of_zero_vectors_only(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (1, 1, 0, 0.0), (1, 2, 2, 0.0)]
 
 
+def test_neighbours_are_dealt_by_their_work(spark, monkeypatch):
+    """One file's rows are placed, and blocks meet, in as many tasks as their distances need, and the result stays exact."""
+    df = vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(6).normal(size=(400, 3)))]).coalesce(1)
+    few = sorted(map(tuple, neighbors.nearest(df, df, 3, True, pool_block=20).collect()))
+    tasks, settled = [], neighbors.settle
+    monkeypatch.setattr(neighbors, "settle", lambda x: tasks.append(x.rdd.getNumPartitions()) or settled(x))
+    monkeypatch.setattr(neighbors, "TASK_CELLS", 200, raising=False)
+    assert sorted(map(tuple, neighbors.nearest(df, df, 3, True, pool_block=20).collect())) == few
+    assert tasks[0] == tasks[1] == 400 * 20 // 200
+
+
+def test_neighbours_in_parts_of_bounded_memory(spark, monkeypatch):
+    """A batch meets the pivots in parts of at most CELLS distances, whatever the batch and however many pivots."""
+    df = vectors(spark, [(i, [float(i % 7), 1.0]) for i in range(300)]).coalesce(1)
+    monkeypatch.setattr(neighbors, "CELLS", 60, raising=False)
+    sizes = neighbors._in_arrow(df.select("row_id", "v"), lambda batch, units: [pa.array(np.full(len(units), len(units), np.int32))], "size int", 15).collect()
+    assert len(sizes) == 300 and {r["size"] for r in sizes} == {4}
+    whole = sorted(map(tuple, neighbors.nearest(df, df, 3, pool_block=40).collect()))
+    monkeypatch.undo()
+    assert whole == sorted(map(tuple, neighbors.nearest(df, df, 3, pool_block=40).collect()))
+
+
 def test_validation_keeps_copies_and_candidates_leave_it_out(spark):
     sets = spark.createDataFrame([(0, 1, 1, 7), (0, 2, 1, 7), (0, 1, 2, 8), (0, 2, 2, 9)], "batch_id long, q_id long, rank int, p_id long")
     assert [r["p_id"] for r in neighbors.validation(sets).collect()] == [7, 7]
