@@ -18,6 +18,8 @@ QUERY_BLOCK, POOL_BLOCK, DIGITS = 2048, 8192, 9
 MOST_PIVOTS = 4096
 #: Distances are compared with this to spare, for similarities are rounded.
 SLACK = 1e-4
+#: More than rounding moves a similarity.
+SPARE = 1e-8
 #: Similarities or distances that a worker holds at once (8 bytes each), and those that a task works out in all; what makes more is dealt to more tasks. So are rows that move.
 CELLS, TASK_CELLS = 1 << 19, 1 << 30
 TASK_ROWS = 1 << 17
@@ -47,6 +49,12 @@ def _in_arrow(rows: DataFrame, add, fields: str, points: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", " + fields)
 
 
+def _by_pivot(rows: DataFrame, counts: list[tuple[int, int, int]]) -> DataFrame:
+    """(pivot, parts, blocks) for a broadcast join. Given as Arrow it stays a local table; of a list Spark makes an RDD, for which each executor would start a second set of Python workers."""
+    names = ("pivot", "parts", "blocks")
+    return F.broadcast(rows.sparkSession.createDataFrame(pa.table({n: pa.array([c[i] for c in counts], pa.int32()) for i, n in enumerate(names)})))
+
+
 def _dealt(rows: DataFrame, cells: int, *by: str, moved: int = 0) -> DataFrame:
     """rows by a hash of `by` in as many tasks as so many distances, or moved rows, need. The few bytes of a vector say nothing of its work, so neither the files nor the sizes of a shuffle can decide that."""
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS), -(-moved // TASK_ROWS)), *by)
@@ -63,17 +71,21 @@ def _meetings(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) ->
             own, ids, least = (x.to_numpy() for x in (a.column("id"), b.column("id"), a.column("least")))
             qs, units = (_units(x.column("v").combine_chunks()) for x in (a, b))
             for part in np.array_split(np.arange(len(own)), -(-len(own) * len(ids) // CELLS)):
-                sim = np.round(qs[part] @ units.T, DIGITS) + 0.0
+                sim = qs[part] @ units.T
                 if exclude_self:
                     sim[own[part][:, None] == ids[None, :]] = -np.inf
-                floor = least[part][:, None]
-                if k < len(ids):  # all that reach the k-th best, so that ties can be settled by id
-                    floor = np.maximum(floor, -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k])
-                r, c = np.nonzero((sim >= floor) & (sim > -np.inf))
-                at = np.lexsort((ids[c], -sim[r, c], r))
-                r, c = r[at], c[at]
+                # Only what may reach the floor is rounded. Most queries have few such rows here; of more than k, all that reach the k-th best, so that ties can be settled by id.
+                floor = np.maximum(least[part] - SPARE, np.finfo(float).min)
+                full = np.flatnonzero(np.count_nonzero(sim >= floor[:, None], axis=1) > k)
+                for some in np.array_split(full, -(-len(full) // 16)) if len(full) else ():
+                    floor[some] = np.maximum(floor[some], -np.partition(-sim[some], k - 1, axis=1)[:, k - 1] - SPARE)
+                r, c = np.nonzero(sim >= floor[:, None])
+                near = np.round(sim[r, c], DIGITS) + 0.0
+                at = np.lexsort((ids[c], -near, r))
+                at = at[near[at] >= least[part][r[at]]]
+                r, c, near = r[at], c[at], near[at]
                 few = np.arange(len(r)) - np.searchsorted(r, r) < k
-                out.append((own[part][r[few]], ids[c[few]], sim[r[few], c[few]]))
+                out.append((own[part][r[few]], ids[c[few]], near[few]))
         return pa.table([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*out), kinds)], names)
 
     by = ("pivot", "part", "block")
@@ -113,7 +125,7 @@ def _sides(placed: DataFrame, reached: DataFrame, sizes: dict, wanted: dict, poo
     """Both sides dealt into cells: a pivot's rows in parts, and the queries that reach it in blocks. A row moves to as many blocks as its pivot's queries fill."""
     few = [(x, -(-sizes[x][0] // pool_block), -(-c // query_block)) for x, c in wanted.items() if c and sizes[x][0]]
     # A row for each pivot, MOST_PIVOTS + 1 at most.
-    table = F.broadcast(placed.sparkSession.createDataFrame(few, "pivot int, parts int, blocks int"))
+    table = _by_pivot(placed, few)
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = reached.select("id", "v", "least", F.explode("pivots").alias("pivot")).join(table, "pivot").select("id", "v", "least", "pivot", every("parts").alias("part"), number(F.col("blocks")).alias("block"))
     right = placed.select("id", "v", "pivot").join(table, "pivot").select("id", "v", "pivot", number(F.col("parts")).alias("part"), every("blocks").alias("block"))
@@ -154,7 +166,7 @@ def _pruned(q: DataFrame, p: DataFrame, nq: int, n: int, k: int, m: int, exclude
     # One part of its own pivot is enough for a first k-th similarity.
     first = _in_arrow(_dealt(q, nq * len(held), "id"), home, "pivot int", len(held)).select("id", "v", F.lit(float("-inf")).alias("least"), "pivot", F.lit(0).alias("part"))
     homes = {r["pivot"]: r["n"] for r in first.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    table = F.broadcast(p.sparkSession.createDataFrame([(x, -(-sizes[x][0] // pool_block), -(-c // query_block)) for x, c in homes.items()], "pivot int, parts int, blocks int"))
+    table = _by_pivot(p, [(x, -(-sizes[x][0] // pool_block), -(-c // query_block)) for x, c in homes.items()])
     left = first.join(table, "pivot").select("id", "v", "least", "pivot", "part", number(F.col("blocks")).alias("block"))
     right = placed.join(table, "pivot").withColumn("part", number(F.col("parts"))).filter("part = 0").select("id", "v", "pivot", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # A part is some pool_block rows.

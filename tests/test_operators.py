@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from dataclasses import replace
 
@@ -191,6 +192,29 @@ def test_neighbours_in_parts_of_bounded_memory(spark, monkeypatch):
     assert whole == sorted(map(tuple, neighbors.nearest(df, df, 3, pool_block=40).collect()))
 
 
+def test_pivots_need_no_workers_of_their_own(spark):
+    """The small table of pivots is local: made from an RDD, it would start a second set of Python workers in each executor."""
+    v = F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")
+    placed, reached = spark.range(9).select("id", v, F.lit(0).alias("pivot")), spark.range(4).select("id", v, F.lit(-1.0).alias("least"), F.array(F.lit(0)).alias("pivots"))
+    for side in neighbors._sides(placed, reached, {0: (9, 0.0, 0.0)}, {0: 4}, 5, 3, lambda n: F.pmod("id", n).cast("int")):
+        plan = side._jdf.queryExecution().toString()
+        assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+        assert side.count() == {"least": 8, "id": 18}["least" if "least" in side.columns else "id"]
+
+
+def test_meetings_round_what_reaches_the_floor(spark):
+    """Rows a rounding apart are ties by id, at the floor and at the k-th place, and a floor holds for the rounded similarity."""
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    pool = [(9 - i, turn(0.5 + i * 1e-11)) for i in range(8)] + [(20, turn(0.2)), (21, turn(1.2)), (22, [0.0, 0.0]), (23, [math.nan, 1.0])]
+    tied = round(math.cos(0.5), 9)
+    block = [F.lit(0).alias(x) for x in ("pivot", "part", "block")]
+    right = vectors(spark, pool).select(F.col("row_id").alias("id"), "v", *block)
+    for least, ids in ((-math.inf, [20, 2, 3]), (tied, [20, 2, 3]), (tied + 2e-9, [20]), (1.0, [])):
+        left = vectors(spark, [(1, [1.0, 0.0])]).select(F.col("row_id").alias("id"), "v", F.lit(least).alias("least"), *block)
+        got = sorted(neighbors._meetings(left, right, 3, False).collect(), key=lambda r: (-r["sim"], r["p_id"]))
+        assert [r["p_id"] for r in got] == ids and all(r["sim"] == round(r["sim"], 9) for r in got)
+
+
 def test_validation_keeps_copies_and_candidates_leave_it_out(spark):
     sets = spark.createDataFrame([(0, 1, 1, 7), (0, 2, 1, 7), (0, 1, 2, 8), (0, 2, 2, 9)], "batch_id long, q_id long, rank int, p_id long")
     assert [r["p_id"] for r in neighbors.validation(sets).collect()] == [7, 7]
