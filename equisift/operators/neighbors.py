@@ -79,7 +79,7 @@ def _meetings(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) ->
                 full = np.flatnonzero(np.count_nonzero(sim >= floor[:, None], axis=1) > k)
                 for some in np.array_split(full, -(-len(full) // 16)) if len(full) else ():
                     floor[some] = np.maximum(floor[some], -np.partition(-sim[some], k - 1, axis=1)[:, k - 1] - SPARE)
-                r, c = np.nonzero(sim >= floor[:, None])
+                r, c = np.divmod(np.flatnonzero(sim >= floor[:, None]), len(ids))
                 near = np.round(sim[r, c], DIGITS) + 0.0
                 at = np.lexsort((ids[c], -near, r))
                 at = at[near[at] >= least[part][r[at]]]
